@@ -1,6 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from seqloom.llm import token_files
+from seqloom.llm import mixing, quality, sharding, token_files, url_filters
 
-QUERIES = {"op1_token_files": token_files.op1_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
+    "op2_url_filters": url_filters.op2_url_filters,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
+}
+ORACLES = {"op2_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE}
