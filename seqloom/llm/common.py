@@ -190,7 +190,8 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a pre-aggregated shuffle, until no edge changes. Each
     round is a written table, so a lost executor costs at most one round.
     """
-    now = work.table("cc0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    run = uuid.uuid4().hex[:6]
+    now = work.table(f"cc{run}-0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark, n = None, 0
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -201,9 +202,9 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small_ = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         n += 1
-        now = work.table(f"cc{n}", small_.filter("u <> v").distinct())
+        now = work.table(f"cc{run}-{n}", small_.filter("u <> v").distinct())
         seen = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).head())
-        work.drop(f"cc{n - 1}")
+        work.drop(f"cc{run}-{n - 1}")
         if seen == mark:
             break
         mark = seen
