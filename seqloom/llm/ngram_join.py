@@ -5,6 +5,9 @@ Rows enter the product only with their prefix, the n - ceil(t n) + 1 first shing
 sets of Jaccard t or more share one of those. Blocks of columns are multiplied apart; sizes bound which rows of
 a column can meet. Candidate overlaps are then accumulated exactly.
 
+Before whole sets are fetched, the columns are cut into RANGES ranges and the rows' sizes in each bound the
+overlap of a pair: the sum of the smaller sizes. Only pairs that this bound lets pass are counted exactly.
+
 A long column is not multiplied out. Its rows first meet a pivot; rows that this leaves in different components
 meet each other only where the Jaccard distance, a metric, allows it: |d(x, p) - d(y, p)| <= 1 - t. So every
 pair of a column is linked through others, verified, or ruled out by a bound.
@@ -27,6 +30,8 @@ SHORT = 12
 #: One text in SAMPLE is looked at to put frequent shingles last in the global order, at most MOST of them. The
 #: order decides how much work there is, never what is found.
 SAMPLE, MOST = 16, 1_000_000
+#: Ranges of columns in which a row's sizes are kept.
+RANGES = 256
 #: Entries that a task holds before it hands them on.
 HELD = 1 << 20
 
@@ -108,8 +113,9 @@ class Join:
         return np.sort(top["h"].to_numpy(np.int64).astype(np.uint64))
 
     # -- one pass over the texts ---------------------------------------------------------------------------
-    def scan(self) -> tuple[DataFrame, DataFrame]:
-        """Documents (doc_id, n, entity) and the product's entries in blocks of columns."""
+    def scan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents (doc_id, n, entity), rows' sizes by range (entity, sizes), and the product's entries in blocks
+        of columns."""
         width, percent, n_blocks, step = self.width, self.percent, self.n_blocks, self.step
         shared = self.work.spark.sparkContext.broadcast(self.frequent())
 
@@ -117,8 +123,14 @@ class Join:
             late, seen = shared.value, set()
             held: list[tuple[np.ndarray, int, int]] = []
             docs: list[tuple[int | None, int, int]] = []
+            sizes: dict[type, list[tuple[int, np.ndarray]]] = {np.uint8: [], np.uint32: []}
 
             def flush():
+                for mark, kind in ((-2, np.uint8), (-3, np.uint32)):
+                    if sizes[kind]:
+                        data = np.array([x[0] for x in sizes[kind]], np.int64).tobytes() + b"".join(x[1].tobytes() for x in sizes[kind])
+                        yield pa.record_batch([pa.array([mark], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+                        sizes[kind].clear()
                 if docs:
                     who = pack(np.array([d[0] or 0 for d in docs], np.int64), np.array([d[1] for d in docs], np.int64), np.array([d[2] for d in docs], np.int64), np.array([d[0] is None for d in docs], np.int8))
                     yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([who], pa.binary())], ["block", "data"])
@@ -138,6 +150,9 @@ class Join:
                     if not n or name in seen:
                         continue
                     seen.add(name)
+                    in_range = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+                    kind = np.uint8 if in_range.max() < 256 else np.uint32
+                    sizes[kind].append((name, in_range.astype(kind)))
                     need = n - (percent * n + 99) // 100 + 1
                     if len(late):
                         at = np.searchsorted(late, s)
@@ -157,8 +172,17 @@ class Join:
                     doc, n, name, null = unpack(d, np.int64, np.int64, np.int64, np.int8)
                     yield pa.record_batch([pa.array(doc, mask=null.astype(bool)), pa.array(n), pa.array(name, mask=n == 0)], ["doc_id", "n", "entity"])
 
-        docs = self.work.table("docs", rows.filter("block < 0").select("data").mapInArrow(spread, "doc_id long, n long, entity long"))
-        return docs, rows.filter("block >= 0")
+        def spread_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for mark, d in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+                    width = RANGES * (1 if mark == -2 else 4)
+                    n = len(d) // (8 + width)
+                    data = [d[8 * n + k * width : 8 * n + (k + 1) * width] for k in range(n)]
+                    yield pa.record_batch([pa.array(np.frombuffer(d, np.int64, n)), pa.array(data, pa.binary())], ["entity", "sizes"])
+
+        by_range = self.work.table("sizes", rows.filter("block < -1").mapInArrow(spread_sizes, "entity long, sizes binary"))
+        docs = self.work.table("docs", rows.filter("block = -1").select("data").mapInArrow(spread, "doc_id long, n long, entity long"))
+        return docs, by_range, rows.filter("block >= 0")
 
     # -- the blocked product -------------------------------------------------------------------------------
     def multiply(self, entries: DataFrame) -> DataFrame:
@@ -213,11 +237,42 @@ class Join:
         return self.work.table("cand", rows.mapInArrow(product, "col long, a long, b long, c long, cls int"))
 
     # -- exact overlaps ------------------------------------------------------------------------------------
-    def overlaps(self, name: str, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-        """a, b, na, nb, both for every pair, from whole sets of just the rows that occur in pairs."""
-        width = self.width
-        wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select(F.col("b").alias("entity"))).distinct()
-        holder = docs.filter("entity IS NOT NULL").groupBy("entity").agg(F.min("doc_id").alias("at")).join(wanted, "entity", "left_semi")
+    def overlaps(self, name: str, docs: DataFrame, by_range: DataFrame, pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb, most, both for every pair: the bound of the overlap, and the overlap itself from whole sets
+        where the bound lets the pair pass (else null)."""
+        width, percent = self.width, self.percent
+        some = lambda p: p.select(F.col("a").alias("want")).union(p.select(F.col("b").alias("want"))).distinct()
+        wanted = self.work.table(f"wanted{name}", some(pairs))
+        part = self.work.table(f"ranges{name}", by_range.join(small(wanted), F.col("entity") == F.col("want"), "left_semi").groupBy("entity").agg(F.first("sizes").alias("sizes")))
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = lambda v: np.frombuffer(v.as_buffer(), np.uint8 if v.as_buffer().size == RANGES else np.uint32)
+            for b in batches:
+                out = []
+                for x, y in zip(b.column("x"), b.column("y")):
+                    x, y = read(x), read(y)
+                    out.append((int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)), int(np.minimum(x, y).sum(dtype=np.int64))))
+                cols = list(zip(*out)) or [(), (), ()]
+                yield pa.record_batch([b.column("a"), b.column("b"), *[pa.array(c, pa.int64()) for c in cols]], ["a", "b", "na", "nb", "most"])
+
+        bounded = self._beside(pairs.select("a", "b"), part, "sizes").mapInArrow(bound, "a long, b long, na long, nb long, most long")
+        bounded = self.work.table(f"bound{name}", bounded)
+        self.work.drop(f"ranges{name}", f"wanted{name}")
+        passed = bounded.filter(f"100 * most >= {percent} * (na + nb - most)").select("a", "b")
+        exact = self._exact(name, docs, passed, some(passed), width).select(F.col("a").alias("x"), F.col("b").alias("y"), "both")
+        done = bounded.join(exact, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").drop("x", "y")
+        done = self.work.table(f"measured{name}", done)
+        self.release()
+        return done
+
+    def _beside(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """a, b with a's and b's value as x and y. A row with many pairs is a skewed join, which Spark splits."""
+        rows = pairs.join(table.select(F.col("entity").alias("b"), F.col(column).alias("y")), "b")
+        return rows.join(table.select(F.col("entity").alias("a"), F.col(column).alias("x")), "a").select("a", "b", "x", "y")
+
+    def _exact(self, name: str, docs: DataFrame, pairs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+        """a, b, both, from the whole sets of just the rows that occur in the pairs."""
+        holder = docs.filter("entity IS NOT NULL").groupBy("entity").agg(F.min("doc_id").alias("at")).join(wanted, F.col("entity") == F.col("want"), "left_semi")
         holder = small(holder.select("at").distinct())
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,17 +287,12 @@ class Join:
             for b in batches:
                 out = []
                 for x, y in zip(b.column("x"), b.column("y")):
-                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    m = np.sort(np.concatenate([x, y]))
-                    out.append((len(x), len(y), int((m[1:] == m[:-1]).sum())))
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.record_batch([b.column("a"), b.column("b"), *[pa.array(c, pa.int64()) for c in cols]], ["a", "b", "na", "nb", "both"])
+                    m = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)]))
+                    out.append(int((m[1:] == m[:-1]).sum()))
+                yield pa.record_batch([b.column("a"), b.column("b"), pa.array(out, pa.int64())], ["a", "b", "both"])
 
-        rows = pairs.select("a", "b").join(whole.select(F.col("entity").alias("b"), F.col("members").alias("y")), "b")
-        rows = rows.join(whole.select(F.col("entity").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-        done = self.work.table(f"pairs{name}", rows.mapInArrow(count, "a long, b long, na long, nb long, both long"))
+        done = self.work.table(f"pairs{name}", self._beside(pairs, whole, "members").mapInArrow(count, "a long, b long, both long"))
         self.work.drop(f"sets{name}")
-        self.release()
         return done
 
     def links(self, measured: DataFrame) -> DataFrame:
@@ -256,13 +306,17 @@ class Join:
         named = members.join(found, F.col("a") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "a"))
         mixed = named.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("col")
         left = named.join(small(mixed), "col", "left_semi")
-        near = measured.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-        near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        own = near.select(F.col("a"), F.col("b"), F.col("d").alias("d_own"))
-        nxt = near.select(F.col("a"), F.col("b").alias("c"), F.col("d").alias("d_next"))
+        # a pair without an exact overlap has a distance between what its bound allows and 1
+        far = lambda c: 1 - c / (F.col("na") + F.col("nb") - c)
+        near = measured.select("a", "b", far(F.coalesce("both", "most")).alias("lo"), F.when(F.col("both").isNull(), F.lit(1.0)).otherwise(far(F.col("both"))).alias("hi"))
+        near = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "lo", "hi"))
+        own = near.select("a", "b", F.col("lo").alias("d_own"), F.col("hi").alias("d_own_hi"))
+        nxt = near.select("a", F.col("b").alias("c"), F.col("lo").alias("d_next"), F.col("hi").alias("d_next_hi"))
         left = left.join(own, ["a", "b"], "left").join(nxt, ["a", "c"], "left")
-        left = left.withColumn("d_own", F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d_own")))
-        left = left.withColumn("d_next", F.when(F.col("a") == F.col("c"), F.lit(0.0)).otherwise(F.col("d_next")))
+        for name, other in (("d_own", "b"), ("d_next", "c")):
+            same = F.coalesce(F.col("a") == F.col(other), F.lit(False))
+            left = left.withColumn(name, F.when(same, F.lit(0.0)).otherwise(F.coalesce(name, F.lit(0.0))))
+            left = left.withColumn(f"{name}_hi", F.when(same, F.lit(0.0)).otherwise(F.coalesce(f"{name}_hi", F.lit(1.0))))
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def solve(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -270,20 +324,20 @@ class Join:
                     mine = t["cls"] == c
                     for other, key in ((c, "d_own"), (c + 1, "d_next")):
                         theirs = t["cls"] == other
-                        x, dx, gx = t["a"][mine], t[key][mine], t["component"][mine]
-                        y, dy, gy = t["a"][theirs], t["d_own"][theirs], t["component"][theirs]
-                        order = np.argsort(dy)
-                        y, dy, gy = y[order], dy[order], gy[order]
-                        lo = np.where(np.isnan(dx), 0, np.searchsorted(dy, dx - slack))
-                        hi = np.where(np.isnan(dx), len(dy), np.searchsorted(dy, dx + slack, "right"))
+                        x, lx, hx, gx = (t[n][mine] for n in ("a", key, key + "_hi", "component"))
+                        y, ly, hy, gy = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component"))
+                        order = np.argsort(hy)
+                        y, ly, hy, gy = y[order], ly[order], hy[order], gy[order]
+                        low = np.searchsorted(hy, lx - slack)
                         for i in range(len(x)):
-                            sel = np.flatnonzero(gy[lo[i] : hi[i]] != gx[i]) + lo[i]
+                            k = low[i]
+                            sel = np.flatnonzero((gy[k:] != gx[i]) & (ly[k:] <= hx[i] + slack)) + k
                             if len(sel):
                                 a, b = np.minimum(x[i], y[sel]), np.maximum(x[i], y[sel])
                                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
             now, held = None, []
-            names = ["a", "cls", "d_own", "d_next", "component"]
+            names = ["a", "cls", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
             for b in batches:
                 key = np.asarray(b.column("col"))
                 cut = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -301,25 +355,25 @@ class Join:
                 yield from solve({n: np.concatenate([h[n] for h in held]) for n in names})
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = left.select("col", "a", "cls", "d_own", "d_next", "component").repartition(parts, "col").sortWithinPartitions("col")
+        rows = left.select("col", "a", "cls", "d_own", "d_own_hi", "d_next", "d_next_hi", "component").repartition(parts, "col").sortWithinPartitions("col")
         new = rows.mapInArrow(pairs, "a long, b long").distinct()
         return new.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
     def run(self) -> DataFrame:
-        docs, entries = self.scan()
+        docs, by_range, entries = self.scan()
         cand = self.multiply(entries)
         self.work.drop("pass")
         self.release()
         pairs = self.work.table("first", cand.filter("col IS NULL").select("a", "b").distinct())
-        measured = self.overlaps("1", docs, pairs)
+        measured = self.overlaps("1", docs, by_range, pairs)
         linked = self.links(measured)
         found = self.work.table("found1", components(self.work, linked))
         members = cand.filter("col IS NOT NULL")
         more = self.work.table("open", self.open_pairs(members, measured, found))
         if more.limit(1).count():
-            measured = self.overlaps("2", docs, more)
+            measured = self.overlaps("2", docs, by_range, more)
             # components so far are links too
-            linked = self.links(measured).union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            linked = self.links(measured).union(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
             found = self.work.table("found2", components(self.work, linked))
         ids = docs.filter("entity IS NOT NULL").groupBy("entity").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
         ids = ids.join(found, F.col("entity") == F.col("node"), "left").withColumn("root", F.coalesce("component", "entity"))
