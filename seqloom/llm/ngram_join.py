@@ -5,6 +5,9 @@ Rows enter the product only with their prefix, the n - ceil(t n) + 1 first shing
 sets of Jaccard t or more share one of those. Blocks of columns are multiplied apart; sizes bound which rows of
 a column can meet. Candidate overlaps are then accumulated exactly.
 
+A pair counts in a column only if it could have its first shared shingle there: what is left of both rows after
+their places in the order must still reach the overlap that their sizes call for.
+
 Before whole sets are fetched, the columns are cut into RANGES ranges and the rows' sizes in each bound the
 overlap of a pair: the sum of the smaller sizes. Only pairs that this bound lets pass are counted exactly.
 
@@ -30,10 +33,13 @@ SHORT = 12
 #: One text in SAMPLE is looked at to put frequent shingles last in the global order, at most MOST of them. The
 #: order decides how much work there is, never what is found.
 SAMPLE, MOST = 16, 1_000_000
+#: Rounds in which each row outside a column's largest component meets one row of another component, before all
+#: pairs that are still open are listed.
+ROUNDS = 2
 #: Ranges of columns in which a row's sizes are kept.
 RANGES = 256
 #: Entries that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -65,6 +71,11 @@ def entity(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def could(n, place, m, other, percent: int):
+    """Whether sets of n and m shingles whose first shared one has these places can be similar enough."""
+    return (100 + percent) * np.minimum(n - place, m - other) >= percent * (n + m)
+
+
 class Join:
     """One run. t is percent / 100; percent and width are whole numbers, so bounds are exact."""
 
@@ -116,12 +127,12 @@ class Join:
     def scan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents (doc_id, n, entity), rows' sizes by range (entity, sizes), and the product's entries in blocks
         of columns."""
-        width, percent, n_blocks, step = self.width, self.percent, self.n_blocks, self.step
+        width, percent, n_blocks = self.width, self.percent, self.n_blocks
         shared = self.work.spark.sparkContext.broadcast(self.frequent())
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             late, seen = shared.value, set()
-            held: list[tuple[np.ndarray, int, int]] = []
+            held: list[tuple[np.ndarray, int, int]] = []  # prefix, name, size of the set
             docs: list[tuple[int | None, int, int]] = []
             sizes: dict[type, list[tuple[int, np.ndarray]]] = {np.uint8: [], np.uint32: []}
 
@@ -137,10 +148,11 @@ class Join:
                     docs.clear()
                 if held:
                     n = [len(x[0]) for x in held]
-                    h, e, s = np.concatenate([x[0] for x in held]), np.repeat(np.array([x[1] for x in held], np.int64), n), np.repeat(np.array([x[2] for x in held], np.uint8), n)
+                    h, e, s = np.concatenate([x[0] for x in held]), np.repeat(np.array([x[1] for x in held], np.int64), n), np.repeat(np.array([x[2] for x in held], np.uint32), n)
+                    pos = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
                     held.clear()
-                    for b, (x, y, z) in by_block((h % np.uint64(n_blocks)).astype(np.int64), n_blocks, h, e, s):
-                        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([pack(x, y, z)], pa.binary())], ["block", "data"])
+                    for b, cols in by_block((h % np.uint64(n_blocks)).astype(np.int64), n_blocks, h, e, s, pos):
+                        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([pack(*cols)], pa.binary())], ["block", "data"])
 
             for b in chunks(batches, "text"):
                 for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), width)):
@@ -159,7 +171,7 @@ class Join:
                         common = late[np.minimum(at, len(late) - 1)] == s
                         rare = s[~common]
                         s = rare[:need] if len(rare) >= need else np.concatenate([rare, s[common][: need - len(rare)]])
-                    held.append((s[:need], name, min(255, int(np.log(n) / step))))
+                    held.append((s[:need], name, n))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield from flush()
             yield from flush()
@@ -188,32 +200,36 @@ class Join:
     def multiply(self, entries: DataFrame) -> DataFrame:
         """Candidates: rows without a column are pairs (a, b); rows with one are a long column's members, with
         the pivots of their own and the next size class."""
+        step, percent = self.step, self.percent
+
+        names = ["col", "a", "b", "c", "cls", "n", "place"]
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, pieces in blocks_of(batches):
-                cols = [unpack(p, np.uint64, np.int64, np.uint8) for p in pieces]
-                h, e, z = (np.concatenate(c) for c in zip(*cols))
+                cols = [unpack(p, np.uint64, np.int64, np.uint32, np.uint32) for p in pieces]
+                h, e, z, pos = (np.concatenate(c) for c in zip(*cols))
                 order = np.argsort(h)
-                h, e, z = h[order], e[order], z[order]
+                h, e, z, pos = h[order], e[order], z[order].astype(np.int64), pos[order].astype(np.int64)
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 size = np.diff(np.append(new, len(h)))
-                pairs, members, known = [], [], set()
+                pairs, members, known = [], [], {}
                 for at, k in zip(new[size > 1].tolist(), size[size > 1].tolist()):
                     who, first = np.unique(e[at : at + k], return_index=True)
-                    k = len(who)
+                    n, place, k = z[at : at + k][first], pos[at : at + k][first], len(who)
                     if k < 2:
                         continue
-                    cls = z[at : at + size[np.searchsorted(new, at)]][first].astype(np.int64)
                     if k <= SHORT:
                         i, j = np.triu_indices(k, 1)
-                        near = np.abs(cls[i] - cls[j]) <= 1
+                        near = could(n[i], place[i], n[j], place[j], percent)
                         pairs.append(np.stack([who[i[near]], who[j[near]]]))
                         continue
                     turn = int(h[at] >> np.uint64(20)) & 3
-                    mark = (hash(who.tobytes()), turn)
-                    if mark in known:  # the same rows with the same pivots
+                    mark = (who.tobytes(), turn)
+                    if mark in known:  # the same rows with the same pivots: the best place of each stands for both
+                        np.minimum(known[mark], place, out=known[mark])
                         continue
-                    known.add(mark)
+                    known[mark] = place
+                    cls = np.minimum(255, (np.log(n) / step).astype(np.int64))
                     draw = mix(who.astype(np.uint64) + np.uint64(turn))
                     best = np.lexsort((draw, cls))
                     heads = best[np.concatenate([[True], cls[best][1:] != cls[best][:-1]])]
@@ -224,17 +240,17 @@ class Join:
                     for other, ok in ((own, own != who), (nxt, has & (nxt != who))):
                         pairs.append(np.stack([np.minimum(who, other)[ok], np.maximum(who, other)[ok]]))
                     name = np.int64(np.uint64(h[at]).astype(np.int64))
-                    members.append((np.full(k, name), who, own, nxt, has, cls))
+                    members.append((np.full(k, name), who, own, nxt, has, cls, n, place))
                 if pairs:
                     p = np.unique(np.concatenate(pairs, axis=1), axis=1) if sum(x.shape[1] for x in pairs) else np.zeros((2, 0), np.int64)
                     none = pa.nulls(p.shape[1], pa.int64())
-                    yield pa.record_batch([none, pa.array(p[0]), pa.array(p[1]), none, pa.nulls(p.shape[1], pa.int32())], ["col", "a", "b", "c", "cls"])
-                for col, who, own, nxt, has, cls in members:
-                    yield pa.record_batch([pa.array(col), pa.array(who), pa.array(own), pa.array(nxt, mask=~has), pa.array(cls.astype(np.int32))], ["col", "a", "b", "c", "cls"])
+                    yield pa.record_batch([none, pa.array(p[0]), pa.array(p[1]), none, none, none, none], names)
+                for col, who, own, nxt, has, cls, n, place in members:
+                    yield pa.record_batch([pa.array(col), pa.array(who), pa.array(own), pa.array(nxt, mask=~has), pa.array(cls), pa.array(n), pa.array(place)], names)
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = entries.repartition(parts, "block").sortWithinPartitions("block")
-        return self.work.table("cand", rows.mapInArrow(product, "col long, a long, b long, c long, cls int"))
+        return self.work.table("cand", rows.mapInArrow(product, ", ".join(f"{c} long" for c in names)))
 
     # -- exact overlaps ------------------------------------------------------------------------------------
     def overlaps(self, name: str, docs: DataFrame, by_range: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -300,9 +316,10 @@ class Join:
         return measured.filter(f"100 * both >= {self.percent} * (na + nb - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # -- what pivots left open -----------------------------------------------------------------------------
-    def open_pairs(self, members: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs of long columns that are in different components and that no bound rules out."""
-        slack = 1 - self.percent / 100 + 1e-9
+    def open_pairs(self, members: DataFrame, measured: DataFrame, found: DataFrame, turn: int | None = None) -> DataFrame:
+        """Pairs of long columns that are in different components and that no bound rules out: all of them, or in
+        a numbered round one for each row outside the largest component."""
+        slack, percent = 1 - self.percent / 100 + 1e-9, self.percent
         named = members.join(found, F.col("a") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "a"))
         mixed = named.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("col")
         left = named.join(small(mixed), "col", "left_semi")
@@ -320,24 +337,29 @@ class Join:
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def solve(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+                ranks, inverse, n = np.unique(t["component"], return_inverse=True, return_counts=True)
+                small_one = inverse != np.argmax(n)
+                rng = np.random.default_rng([turn or 0, len(t["a"]), int(t["a"][0]) & 0x7FFFFFFF])
                 for c in np.unique(t["cls"]):
                     mine = t["cls"] == c
                     for other, key in ((c, "d_own"), (c + 1, "d_next")):
                         theirs = t["cls"] == other
-                        x, lx, hx, gx = (t[n][mine] for n in ("a", key, key + "_hi", "component"))
-                        y, ly, hy, gy = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component"))
+                        x, lx, hx, gx, nx, px, sx = (v[mine] for v in (t["a"], t[key], t[key + "_hi"], t["component"], t["n"], t["place"], small_one))
+                        y, ly, hy, gy, ny, py = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component", "n", "place"))
                         order = np.argsort(hy)
-                        y, ly, hy, gy = y[order], ly[order], hy[order], gy[order]
+                        y, ly, hy, gy, ny, py = (v[order] for v in (y, ly, hy, gy, ny, py))
                         low = np.searchsorted(hy, lx - slack)
-                        for i in range(len(x)):
+                        for i in np.flatnonzero(sx) if turn is not None else range(len(x)):
                             k = low[i]
-                            sel = np.flatnonzero((gy[k:] != gx[i]) & (ly[k:] <= hx[i] + slack)) + k
+                            sel = np.flatnonzero((gy[k:] != gx[i]) & (ly[k:] <= hx[i] + slack) & could(nx[i], px[i], ny[k:], py[k:], percent)) + k
+                            if len(sel) and turn is not None:
+                                sel = sel[[rng.integers(len(sel))]]
                             if len(sel):
                                 a, b = np.minimum(x[i], y[sel]), np.maximum(x[i], y[sel])
                                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
             now, held = None, []
-            names = ["a", "cls", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
+            names = ["a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
             for b in batches:
                 key = np.asarray(b.column("col"))
                 cut = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -355,7 +377,7 @@ class Join:
                 yield from solve({n: np.concatenate([h[n] for h in held]) for n in names})
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = left.select("col", "a", "cls", "d_own", "d_own_hi", "d_next", "d_next_hi", "component").repartition(parts, "col").sortWithinPartitions("col")
+        rows = left.select("col", "a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component").repartition(parts, "col").sortWithinPartitions("col")
         new = rows.mapInArrow(pairs, "a long, b long").distinct()
         return new.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -369,12 +391,18 @@ class Join:
         linked = self.links(measured)
         found = self.work.table("found1", components(self.work, linked))
         members = cand.filter("col IS NOT NULL")
-        more = self.work.table("open", self.open_pairs(members, measured, found))
-        if more.limit(1).count():
-            measured = self.overlaps("2", docs, by_range, more)
-            # components so far are links too
-            linked = self.links(measured).union(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
-            found = self.work.table("found2", components(self.work, linked))
+        known = measured
+        for turn in [*range(ROUNDS), None]:
+            more = self.work.table(f"open{turn}", self.open_pairs(members, known, found, turn))
+            if not more.limit(1).count():
+                continue
+            measured = self.overlaps(f"-{turn}", docs, by_range, more)
+            known = known.union(measured)
+            fresh = self.links(measured)
+            if fresh.limit(1).count():
+                # components so far are links too
+                linked = fresh.union(found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+                found = self.work.table(f"found-{turn}", components(self.work, linked))
         ids = docs.filter("entity IS NOT NULL").groupBy("entity").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
         ids = ids.join(found, F.col("entity") == F.col("node"), "left").withColumn("root", F.coalesce("component", "entity"))
         low = ids.groupBy("root").agg(F.min("low").alias("component_id"))
