@@ -9,7 +9,8 @@ A pair counts in a column only if it could have its first shared shingle there:
 their places in the order must still reach the overlap that their sizes call for.
 
 Before whole sets are fetched, the columns are cut into RANGES ranges and the rows' sizes in each bound the
-overlap of a pair: the sum of the smaller sizes. Only pairs that this bound lets pass are counted exactly.
+overlap of a pair: the sum of the smaller sizes. Only pairs that this bound lets pass are counted exactly. Pairs of
+a long column meet it before they leave the column's task.
 
 A long column is not multiplied out. Its rows first meet a pivot; rows that this leaves in different components
 meet each other only where the Jaccard distance, a metric, allows it: |d(x, p) - d(y, p)| <= 1 - t. So every
@@ -35,7 +36,9 @@ SHORT = 12
 SAMPLE, MOST = 16, 1_000_000
 #: Rounds in which each row outside a column's largest component meets one row of another component, before all
 #: pairs that are still open are listed.
-ROUNDS = 2
+ROUNDS = 1
+#: Rows that a row tries in such a round; what it does not try is left to the list.
+TRIES = 1024
 #: Ranges of columns in which a row's sizes are kept.
 RANGES = 256
 #: Entries that a task holds before it hands them on.
@@ -76,6 +79,21 @@ def could(n, place, m, other, percent: int):
     return (100 + percent) * np.minimum(n - place, m - other) >= percent * (n + m)
 
 
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bound of the overlap of a row, as its sizes by range, with each of others."""
+    out = np.empty(len(y), np.int64)
+    for at in range(0, len(y), 4096):
+        out[at : at + 4096] = np.minimum(x, y[at : at + 4096]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def by_sizes(values: list[bytes]) -> np.ndarray:
+    """One row of RANGES sizes for each value, of a byte each where all values have it so."""
+    if all(len(v) == RANGES for v in values):
+        return np.frombuffer(b"".join(values), np.uint8).reshape(-1, RANGES)
+    return np.stack([np.frombuffer(v, np.uint8 if len(v) == RANGES else np.uint32).astype(np.uint32) for v in values])
+
+
 class Join:
     """One run. t is percent / 100; percent and width are whole numbers, so bounds are exact."""
 
@@ -192,7 +210,8 @@ class Join:
                     data = [d[8 * n + k * width : 8 * n + (k + 1) * width] for k in range(n)]
                     yield pa.record_batch([pa.array(np.frombuffer(d, np.int64, n)), pa.array(data, pa.binary())], ["entity", "sizes"])
 
-        by_range = self.work.table("sizes", rows.filter("block < -1").mapInArrow(spread_sizes, "entity long, sizes binary"))
+        by_range = rows.filter("block < -1").mapInArrow(spread_sizes, "entity long, sizes binary")
+        by_range = self.work.table("sizes", by_range.groupBy("entity").agg(F.first("sizes").alias("sizes")))
         docs = self.work.table("docs", rows.filter("block = -1").select("data").mapInArrow(spread, "doc_id long, n long, entity long"))
         return docs, by_range, rows.filter("block >= 0")
 
@@ -256,10 +275,9 @@ class Join:
     def overlaps(self, name: str, docs: DataFrame, by_range: DataFrame, pairs: DataFrame) -> DataFrame:
         """a, b, na, nb, most, both for every pair: the bound of the overlap, and the overlap itself from whole sets
         where the bound lets the pair pass (else null)."""
-        width, percent = self.width, self.percent
         some = lambda p: p.select(F.col("a").alias("want")).union(p.select(F.col("b").alias("want"))).distinct()
         wanted = self.work.table(f"wanted{name}", some(pairs))
-        part = self.work.table(f"ranges{name}", by_range.join(small(wanted), F.col("entity") == F.col("want"), "left_semi").groupBy("entity").agg(F.first("sizes").alias("sizes")))
+        part = by_range.join(small(wanted), F.col("entity") == F.col("want"), "left_semi")
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = lambda v: np.frombuffer(v.as_buffer(), np.uint8 if v.as_buffer().size == RANGES else np.uint32)
@@ -273,7 +291,13 @@ class Join:
 
         bounded = self._beside(pairs.select("a", "b"), part, "sizes").mapInArrow(bound, "a long, b long, na long, nb long, most long")
         bounded = self.work.table(f"bound{name}", bounded)
-        self.work.drop(f"ranges{name}", f"wanted{name}")
+        self.work.drop(f"wanted{name}")
+        return self.measure(name, docs, bounded)
+
+    def measure(self, name: str, docs: DataFrame, bounded: DataFrame) -> DataFrame:
+        """The pairs with `both` where their bound lets them pass."""
+        width, percent = self.width, self.percent
+        some = lambda p: p.select(F.col("a").alias("want")).union(p.select(F.col("b").alias("want"))).distinct()
         passed = bounded.filter(f"100 * most >= {percent} * (na + nb - most)").select("a", "b")
         exact = self._exact(name, docs, passed, some(passed), width).select(F.col("a").alias("x"), F.col("b").alias("y"), "both")
         done = bounded.join(exact, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").drop("x", "y")
@@ -316,13 +340,17 @@ class Join:
         return measured.filter(f"100 * both >= {self.percent} * (na + nb - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # -- what pivots left open -----------------------------------------------------------------------------
-    def open_pairs(self, members: DataFrame, measured: DataFrame, found: DataFrame, turn: int | None = None) -> DataFrame:
-        """Pairs of long columns that are in different components and that no bound rules out: all of them, or in
-        a numbered round one for each row outside the largest component."""
+    def open_pairs(self, members: DataFrame, by_range: DataFrame, measured: DataFrame, found: DataFrame, turn: int | None = None) -> DataFrame | None:
+        """a, b, na, nb and most of pairs of long columns that are in different components and that no bound rules
+        out: all of them, or in a numbered round one for each row outside the largest component. None if no column
+        has rows of different components."""
         slack, percent = 1 - self.percent / 100 + 1e-9, self.percent
         named = members.join(found, F.col("a") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "a"))
         mixed = named.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("col")
-        left = named.join(small(mixed), "col", "left_semi")
+        left = self.work.table(f"mixed{turn}", named.join(small(mixed), "col", "left_semi"))
+        if not left.limit(1).count():
+            return None
+        vectors = by_range.join(small(left.select(F.col("a").alias("want")).distinct()), F.col("entity") == F.col("want"), "left_semi")
         # a pair without an exact overlap has a distance between what its bound allows and 1
         far = lambda c: 1 - c / (F.col("na") + F.col("nb") - c)
         near = measured.select("a", "b", far(F.coalesce("both", "most")).alias("lo"), F.when(F.col("both").isNull(), F.lit(1.0)).otherwise(far(F.col("both"))).alias("hi"))
@@ -336,49 +364,77 @@ class Join:
             left = left.withColumn(f"{name}_hi", F.when(same, F.lit(0.0)).otherwise(F.coalesce(f"{name}_hi", F.lit(1.0))))
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def solve(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-                ranks, inverse, n = np.unique(t["component"], return_inverse=True, return_counts=True)
+            def solve(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+                if t["component"].min() == t["component"].max():
+                    return
+                _, inverse, n = np.unique(t["component"], return_inverse=True, return_counts=True)
                 small_one = inverse != np.argmax(n)
                 rng = np.random.default_rng([turn or 0, len(t["a"]), int(t["a"][0]) & 0x7FFFFFFF])
                 for c in np.unique(t["cls"]):
                     mine = t["cls"] == c
                     for other, key in ((c, "d_own"), (c + 1, "d_next")):
                         theirs = t["cls"] == other
-                        x, lx, hx, gx, nx, px, sx = (v[mine] for v in (t["a"], t[key], t[key + "_hi"], t["component"], t["n"], t["place"], small_one))
-                        y, ly, hy, gy, ny, py = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component", "n", "place"))
+                        x, lx, hx, gx, nx, px, sx, vx = (v[mine] for v in (t["a"], t[key], t[key + "_hi"], t["component"], t["n"], t["place"], small_one, t["sizes"]))
+                        y, ly, hy, gy, ny, py, vy = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component", "n", "place", "sizes"))
                         order = np.argsort(hy)
-                        y, ly, hy, gy, ny, py = (v[order] for v in (y, ly, hy, gy, ny, py))
+                        y, ly, hy, gy, ny, py, vy = (v[order] for v in (y, ly, hy, gy, ny, py, vy))
                         low = np.searchsorted(hy, lx - slack)
                         for i in np.flatnonzero(sx) if turn is not None else range(len(x)):
                             k = low[i]
                             sel = np.flatnonzero((gy[k:] != gx[i]) & (ly[k:] <= hx[i] + slack) & could(nx[i], px[i], ny[k:], py[k:], percent)) + k
+                            if other == c and turn is None:
+                                sel = sel[y[sel] > x[i]]  # each pair of one class has two turns
+                            if turn is not None and len(sel) > TRIES:
+                                sel = sel[rng.integers(len(sel), size=TRIES)]
+                            most = most_shared(vx[i], vy[sel])
+                            near = 100 * most >= percent * (nx[i] + ny[sel] - most)
+                            sel, most = sel[near], most[near]
                             if len(sel) and turn is not None:
-                                sel = sel[[rng.integers(len(sel))]]
+                                one = rng.integers(len(sel))
+                                sel, most = sel[[one]], most[[one]]
                             if len(sel):
-                                a, b = np.minimum(x[i], y[sel]), np.maximum(x[i], y[sel])
-                                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+                                first = x[i] < y[sel]
+                                yield np.where(first, x[i], y[sel]), np.where(first, y[sel], x[i]), np.where(first, nx[i], ny[sel]), np.where(first, ny[sel], nx[i]), most
+
+            def column(held: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+                t = {n: np.concatenate([h[n] for h in held]) for n in names}
+                yield from solve(t | {"sizes": by_sizes([v for h in held for v in h["sizes"]])})
+
+            def columns() -> Iterator[tuple[np.ndarray, ...]]:
+                now, held = None, []
+                for b in batches:
+                    key = np.asarray(b.column("col"))
+                    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+                    for s, e in zip([0, *cut], [*cut, b.num_rows]):
+                        if s == e:
+                            continue
+                        if key[s] != now and held:
+                            yield from column(held)
+                            held = []
+                        now = key[s]
+                        part = b.slice(s, e - s)
+                        held.append({n: part.column(n).to_numpy(zero_copy_only=False).astype(float if n[0] == "d" else np.int64) for n in names} | {"sizes": part.column("sizes").to_pylist()})
+                if held:
+                    yield from column(held)
+
+            def once(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+                t = np.unique(np.concatenate([np.stack(r) for r in rows], axis=1), axis=1)
+                return pa.record_batch([pa.array(c) for c in t], ["a", "b", "na", "nb", "most"])
 
-            now, held = None, []
             names = ["a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
-            for b in batches:
-                key = np.asarray(b.column("col"))
-                cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-                for s, e in zip([0, *cut], [*cut, b.num_rows]):
-                    if s == e:
-                        continue
-                    mark = key[s]
-                    if mark != now and held:
-                        yield from solve({n: np.concatenate([h[n] for h in held]) for n in names})
-                        held = []
-                    now = mark
-                    part = b.slice(s, e - s)
-                    held.append({n: part.column(n).to_numpy(zero_copy_only=False).astype(float if n[0] == "d" else np.int64) for n in names})
-            if held:
-                yield from solve({n: np.concatenate([h[n] for h in held]) for n in names})
+            out, n = [], 0
+            for r in columns():
+                out.append(r)
+                n += len(r[0])
+                if n > HELD:
+                    yield once(out)
+                    out, n = [], 0
+            if out:
+                yield once(out)
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = left.select("col", "a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component").repartition(parts, "col").sortWithinPartitions("col")
-        new = rows.mapInArrow(pairs, "a long, b long").distinct()
+        rows = left.join(vectors, F.col("a") == F.col("entity")).select("col", "a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component", "sizes").repartition(parts, "col").sortWithinPartitions("col")
+        new = rows.mapInArrow(pairs, "a long, b long, na long, nb long, most long").distinct()
         return new.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
     def run(self) -> DataFrame:
@@ -393,10 +449,13 @@ class Join:
         members = cand.filter("col IS NOT NULL")
         known = measured
         for turn in [*range(ROUNDS), None]:
-            more = self.work.table(f"open{turn}", self.open_pairs(members, known, found, turn))
+            pairs = self.open_pairs(members, by_range, known, found, turn)
+            if pairs is None:
+                break
+            more = self.work.table(f"open{turn}", pairs)
             if not more.limit(1).count():
                 continue
-            measured = self.overlaps(f"-{turn}", docs, by_range, more)
+            measured = self.measure(f"-{turn}", docs, more)
             known = known.union(measured)
             fresh = self.links(measured)
             if fresh.limit(1).count():
