@@ -184,30 +184,57 @@ def blocks_of(batches: Iterator[pa.RecordBatch], key: str = "block", data: str =
 
 
 # -- connected components -----------------------------------------------------------------------------------
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it is joined with) that join the same nodes as the edges (u, v)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
 def components(work: Work, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its smallest node.
 
-    Alternates large-star and small-star steps, each a pre-aggregated shuffle, until no edge changes. Each
-    round is a written table, so a lost executor costs at most one round.
+    Each round joins what a task's own edges join (a million of them at a time), points every node and what it
+    pointed at to the smallest of these, and then from there to where that points, until nothing moves. After the
+    first step a node is in at most one edge of each task, so no node's edges gather in one place. Each round is a
+    written table, so a lost executor costs at most one round.
     """
     run = uuid.uuid4().hex[:6]
-    now = work.table(f"cc{run}-0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark, n = None, 0
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            held.append((np.asarray(b.column("u")), np.asarray(b.column("v"))))
+            if sum(len(x) for x, _ in held) > 1 << 20:
+                u, v = stars(*(np.concatenate(x) for x in zip(*held)))
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+                held.clear()
+        if held:
+            u, v = stars(*(np.concatenate(x) for x in zip(*held)))
+            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    now, n = edges.filter("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), 0
     while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # every edge now points from the larger to the smaller node
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small_ = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        n += 1
-        now = work.table(f"cc{run}-{n}", small_.filter("u <> v").distinct())
-        seen = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).head())
-        work.drop(f"cc{run}-{n - 1}")
-        if seen == mark:
+        least = now.mapInArrow(local, "u long, v long").groupBy("u").agg(F.collect_set("v").alias("all"))
+        least = work.table(f"cc{run}-least{n}", least.withColumn("m", F.array_min("all")))
+        moved = least.filter(F.size("all") > 1).select(F.explode("all").alias("u"), "m").filter("u <> m").distinct()
+        edge = least.select("u", F.col("m").alias("v"), (F.size("all") > 1).alias("busy")).union(moved.select("u", F.col("m").alias("v"), F.lit(True)))
+        then = edge.groupBy(F.col("u").alias("via")).agg(F.min("v").alias("then"))
+        jumped = edge.join(then, F.col("v") == F.col("via"), "left")
+        jumped = jumped.select("u", F.coalesce("then", "v").alias("v"), (F.col("busy") | F.col("then").isNotNull()).alias("busy"))
+        now = work.table(f"cc{run}-{n}", jumped)
+        work.drop(f"cc{run}-least{n}", f"cc{run}-{n - 1}")
+        if not now.filter("busy").limit(1).count():
             break
-        mark = seen
-    out = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return out.union(roots)
+        n += 1
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return out.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
