@@ -1,44 +1,83 @@
-"""Cross-entropy difference: target and background bigram models over one vocabulary."""
+"""Cross-entropy difference: target and background bigram models over the words of the whole corpus."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACED, Words, blocks_of, by_block, chunks, pack, small, tasks, unpack, utf8
+from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, mix, pack, small, tasks, unpack, utf8
 
-#: Words of the shared vocabulary, the most frequent of the whole corpus; 0 stands for all others. Both models
-#: are square tables of this size, whatever the corpus.
-VOCABULARY = 2047
 #: Weight of the word's own frequency in its smoothed bigram probability.
 BACKOFF = 20.0
-#: Blocks of the count table.
+#: Blocks of the count tables, at least; they grow with the input's partitions.
 BLOCKS = 64
+#: Bytes of text in a shard, which asks for each of its different counts once.
+SHARD_BYTES = 8 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_ids(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers of all words, and each text's first word."""
+def word_ids(texts: pa.Array, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, 0 for those outside a given vocabulary, and each text's first word."""
     raw, offsets = utf8(texts)
     words = Words(raw, offsets, SPACED)
     h = words.hashes()
-    if not len(vocabulary) or not len(h):
-        return np.zeros(len(h), np.int64), words.of
-    order = np.argsort(vocabulary)
-    at = np.minimum(np.searchsorted(vocabulary, h, sorter=order), len(vocabulary) - 1)
-    at = order[at]
-    return np.where(vocabulary[at] == h, at + 1, 0), words.of
+    return h if vocabulary is None else np.where(np.isin(h, vocabulary), h, np.uint64(0)), words.of
 
 
-def bigrams(ids: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell numbers (word before, word) of all words; a text begins after word 0. And each word's text."""
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
+def keys_of(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The key of (word before, word) and the word before, for all words; a text begins after word 0. And each
+    word's text."""
+    before = np.concatenate([np.zeros(1, np.uint64), ids[:-1]]) if len(ids) else ids
     n = np.diff(of)
     before[of[:-1][n > 0]] = 0
-    return before * size + ids, np.repeat(np.arange(len(n)), n)
+    return mix(mix((before + np.uint64(1)) * _ODD) ^ ids), before, np.repeat(np.arange(len(n)), n)
+
+
+def words_of(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words, 0 among them, and each one's number in ids and in before."""
+    words, at = np.unique(np.concatenate([np.zeros(1, np.uint64), ids]), return_inverse=True)
+    at_before = np.zeros(len(ids), np.int64)
+    at_before[1:] = at[1:-1]
+    at_before[before == 0] = 0  # the smallest number is that of word 0
+    return words, at[1:], at_before
+
+
+def cuts_of(keys: np.ndarray, bits_: int) -> np.ndarray:
+    """Where each of the 2 ** bits_ blocks begins in sorted keys, and the end; a block is a range of keys."""
+    return np.concatenate([np.searchsorted(keys, np.arange(1 << bits_, dtype=np.uint64) << np.uint64(64 - bits_)), [len(keys)]])
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0, each in as many bytes a number as its largest one needs."""
+    out = []
+    for a in arrays:
+        k = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        out += [len(a).to_bytes(8, "little"), bytes([k]), np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()]
+    whole = b"".join(out)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(data):
+        n, k = int.from_bytes(data[at : at + 8], "little"), data[at + 8]
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :k] = np.frombuffer(data, np.uint8, n * k, at + 9).reshape(k, n).T
+        out.append(a.view(np.int64).reshape(-1))
+        at += 9 + n * k
+    return out
+
+
+def steps(keys: np.ndarray, base: int) -> np.ndarray:
+    """Sorted keys as steps from the base on, which take fewer bytes."""
+    return np.diff(keys, prepend=np.uint64(base))
 
 
 def vocabulary_of(docs: DataFrame, size: int, text_column: str = "text") -> np.ndarray:
@@ -79,81 +118,172 @@ def vocabulary_of(docs: DataFrame, size: int, text_column: str = "text") -> np.n
     return np.array([r["h"] for r in top], np.int64).astype(np.uint64)
 
 
-def counts_of(docs: DataFrame, vocabulary: np.ndarray, size: int, text_column: str, target_column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram counts of the background (all texts) and of the target, from every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    cells = size * size
-    width = -(-cells // BLOCKS)
+def sharded(docs: DataFrame, text_column: str) -> DataFrame:
+    """lm_shard and rows: about SHARD_BYTES of one task's texts with their other columns, as a compressed stream."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, part = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    def pack_rows(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.record_batch([pa.array([shard], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lm_shard", "rows"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, size, held = TaskContext.get().partitionId() << 32, 0, []
         for b in chunks(batches, text_column):
-            ids, of = word_ids(b.column(text_column), shared.value)
-            cell, who = bigrams(ids, of, size)
-            target = np.asarray(b.column(target_column).fill_null(False)).astype(bool)
-            whole += np.bincount(cell, minlength=cells)
-            if target.any() and len(cell):
-                part += np.bincount(cell[target[who]], minlength=cells)
-        at = np.flatnonzero(whole)
-        for k, (c, n, m) in by_block(at // width, BLOCKS, at, whole[at], part[at]):
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pack(c.astype(np.uint32), n, m)], pa.binary())], ["block", "data"])
+            more = b.column(text_column).nbytes
+            if held and size + more > SHARD_BYTES:
+                yield pack_rows(shard, held)
+                shard, size, held = shard + 1, 0, []
+            held.append(b)
+            size += more
+        if held:
+            yield pack_rows(shard, held)
+
+    return docs.mapInArrow(go, "lm_shard long, rows binary")
+
+
+def rows_of(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def counts_of(shards: DataFrame, vocabulary, bits_: int, text_column: str, target_column: str) -> DataFrame:
+    """Answers to every shard and block, in the order of the shard's keys there: lm_shard, block, data, the counts
+    of pairs and of words, these also as the word before, in the background (all texts) and in the target, from
+    every text. And for each block a row without a shard: words, whole_sum and part_sum, its different words and
+    how often they occur.
+
+    Tasks send each different key of a shard once with its counts, so a frequent word weighs like a rare one; a
+    block holds the keys of one hash range, and blocks grow in number with the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, data in zip(b.column("lm_shard").to_pylist(), b.column("rows")):
+                own = rows_of(data.as_buffer())
+                ids, of = word_ids(own.column(text_column), vocabulary.value)
+                pair, before, who = keys_of(ids, of)
+                target = np.asarray(own.column(target_column).combine_chunks().fill_null(False)).astype(bool)[who]
+                pairs, at = np.unique(pair, return_inverse=True)
+                both = [np.bincount(x, minlength=len(pairs)) for x in (at, at[target])]
+                words, at, at_before = words_of(ids, before)
+                single = [np.bincount(x, minlength=len(words)) for x in (at, at[target], at_before, at_before[target])]
+                p, w = cuts_of(pairs, bits_), cuts_of(words, bits_)
+                blocks, data = [], []
+                for k in range(1 << bits_):
+                    i, j, base = slice(p[k], p[k + 1]), slice(w[k], w[k + 1]), k << (64 - bits_)
+                    if p[k] < p[k + 1] or w[k] < w[k + 1]:
+                        blocks.append(k)
+                        data.append(squeeze(steps(pairs[i], base), *(x[i] for x in both), steps(words[j], base), *(x[j] for x in single)))
+                yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), shard, np.int64)), pa.array(data, pa.binary())], ["block", "lm_shard", "data"])
+
+    def summed(block: int, shard: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unsqueeze(d) for d in data]
+        base, of = np.uint64(block << (64 - bits_)), np.array(shard)
+        answers: dict[int, list[np.ndarray]] = {x: [] for x in dict.fromkeys(shard)}
+        sums = []
+        for first, n in ((0, 2), (3, 4)):  # pairs, words
+            keys = np.concatenate([np.cumsum(x[first].view(np.uint64), dtype=np.uint64) + base for x in parts])
+            who = np.repeat(of, [len(x[first]) for x in parts])
+            all_, at = np.unique(keys, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(len(all_)))
+            total = []
+            for c in range(n):
+                column = np.concatenate([x[first + 1 + c] for x in parts])
+                total.append(np.add.reduceat(column[order], starts) if len(starts) else column)
+            order = np.argsort(who, kind="stable")
+            ends = np.searchsorted(who[order], list(answers), "left"), np.searchsorted(who[order], list(answers), "right")
+            for x, lo, hi in zip(answers, *ends):
+                own = np.unique(at[order[lo:hi]])
+                answers[x] += [t[own] for t in total]
+            sums = total
+        yield _answers(block, [None], [None], [int((sums[0] > 0).sum())], [int(sums[0].sum())], [int(sums[1].sum())])
+        for x, a in answers.items():
+            yield _answers(block, [x], [squeeze(*a)], [None], [None], [None])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, pieces in blocks_of(batches):
-            out = np.zeros((2, width), np.int64)
-            for p in pieces:
-                c, n, m = unpack(p, np.uint32, np.int64, np.int64)
-                out[0, c - k * width] += n
-                out[1, c - k * width] += m
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "data"])
-
-    rows = docs.select(text_column, target_column).mapInArrow(count, "block int, data binary").repartition(BLOCKS, "block").sortWithinPartitions("block")
-    whole, part = np.zeros(BLOCKS * width, np.int64), np.zeros(BLOCKS * width, np.int64)
-    for r in rows.mapInArrow(total, "block int, data binary").toLocalIterator():  # BLOCKS rows: the table's size
-        both = np.frombuffer(r["data"], np.int64).reshape(2, width)
-        whole[r["block"] * width : (r["block"] + 1) * width], part[r["block"] * width : (r["block"] + 1) * width] = both
-    return whole[:cells].reshape(size, size), part[:cells].reshape(size, size)
+        now, shard, data = None, [], []
+        for b in batches:
+            for k, x, d in zip(b.column("block").to_pylist(), b.column("lm_shard").to_pylist(), b.column("data")):
+                if k != now and data:
+                    yield from summed(now, shard, data)
+                    shard, data = [], []
+                now = k
+                shard.append(x)
+                data.append(d.as_py())
+        if data:
+            yield from summed(now, shard, data)
 
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = shards.mapInArrow(count, "block long, lm_shard long, data binary")
+    asked = asked.repartition(max(parts, (1 << bits_) // 4), "block").sortWithinPartitions("block")
+    return asked.mapInArrow(total, "block long, lm_shard long, data binary, words long, whole_sum long, part_sum long")
 
-def losses(counts: np.ndarray, backoff: float = BACKOFF) -> np.ndarray:
+
+def _answers(block: int, *cols: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array([block], pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["block", "lm_shard", "data", "words", "whole_sum", "part_sum"])
+
+
+def bits(both, word, before, total: int, size: int, backoff: float = BACKOFF):
     """-log2 p(word | word before): bigram counts smoothed by the word's own frequency, itself add-one."""
-    word = counts.sum(axis=0) + 1.0
-    word = word / word.sum()
-    before = counts.sum(axis=1, keepdims=True)
-    return -np.log2((counts + backoff * word) / (before + backoff)).astype(np.float32)
+    return -np.log2((both + backoff * ((word + 1.0) / (total + size))) / (before + backoff))
+
+
+def losses(counts: np.ndarray, backoff: float = BACKOFF) -> np.ndarray:
+    """The bits of all cells of a square table of counts (word before, word)."""
+    word = counts.sum(axis=0)
+    return bits(counts, word, counts.sum(axis=1, keepdims=True), word.sum(), len(counts), backoff).astype(np.float32)
 
 
-def score(docs: DataFrame, target_column: str, text_column: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target_column: str, text_column: str = "text", vocabulary: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """The rows with lm_tokens, loss_target, loss_background (bits a token) and lm_score, target less background:
     low scores are like the target. Columns of these names give way.
 
     target_column marks target texts; null marks none. Null and empty texts have no tokens and null losses.
-    Counts come from every text. Repeated rows count each time and score alike.
+    Counts come from every text. Repeated rows count each time and score alike. Both models are over all words of
+    the corpus, as tables of counts by hash in the shared folder; a vocabulary makes one class of all words but
+    its most frequent ones. With keep, only these columns of the rows stay.
     """
-    size = vocabulary + 1
     names = ["lm_tokens", "loss_target", "loss_background", "lm_score"]
-    kept = [c for c in docs.columns if c not in names]
-    words = vocabulary_of(docs.select(text_column), vocabulary, text_column)
-    whole, part = counts_of(docs, words, size, text_column, target_column)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     spark = docs.sparkSession
-    table = np.stack([losses(part), losses(whole)])
-    shared = spark.sparkContext.broadcast((words, table))  # 8 bytes a cell, whatever the corpus
-    plain = docs.select(*[F.col(f"`{c}`") for c in kept])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    work = Work(spark, "lm")
+    listed = None if vocabulary is None else vocabulary_of(docs.select(text_column), vocabulary, text_column)
+    shared = spark.sparkContext.broadcast(listed)
+    # the text and the target have names of their own, whatever is kept
+    plain = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_column}`").alias("lm_text"), F.col(f"`{target_column}`").alias("lm_target"))
+    bits_ = (max(BLOCKS, 4 * tasks(plain)) - 1).bit_length()
+    shards = work.table("shards", sharded(plain, "lm_text"))
+    found = work.table("counts", counts_of(shards, shared, bits_, "lm_text", "lm_target"))
+    gc.collect()
+    spark._jvm.System.gc()  # lets the shuffle of the counts go
+    sums = found.filter("lm_shard IS NULL").agg(F.sum("words"), F.sum("whole_sum"), F.sum("part_sum")).head()
+    words, whole_sum, part_sum = (x or 0 for x in sums)
+    size = (words if vocabulary is None else vocabulary) + 1
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[: len(kept)])
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = shared.value
-        flat = table.reshape(2, -1)
-        for b in chunks(batches, text_column):
-            ids, of = word_ids(b.column(text_column), words)
-            cell, who = bigrams(ids, of, size)
-            n = np.diff(of)
-            sums = [np.bincount(who, t[cell], len(n)) if len(cell) else np.zeros(len(n)) for t in flat]
-            mean = [s / np.maximum(n, 1) for s in sums]
-            cols = [pa.array(n.astype(np.int64)), *[pa.array(m, mask=n == 0) for m in (*mean, mean[0] - mean[1])]]
-            yield pa.record_batch([*[b.column(c) for c in kept], *cols], [*kept, *names])
+    def go(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = rows_of(rows.column("rows")[0].as_buffer())
+        ids, of = word_ids(rows.column("lm_text"), shared.value)
+        pair, before, who = keys_of(ids, of)
+        pairs, at = np.unique(pair, return_inverse=True)
+        words, at_word, at_before = words_of(ids, before)
+        # blocks are ranges of keys, so their answers follow one another as the shard's keys do
+        said = [unsqueeze(d) for _, d in sorted(zip(answers.column("block").to_pylist(), answers.column("data").to_pylist()))]
+        counts = [np.concatenate(x) for x in zip(*said)]
+        if [len(x) for x in counts] != [len(pairs)] * 2 + [len(words)] * 4:
+            raise ValueError("counts do not fit their shard")
+        n = np.diff(of)
+        mean = []
+        for k, t in ((1, part_sum), (0, whole_sum)):
+            loss = bits(counts[k][at], counts[2 + k][at_word], counts[4 + k][at_before], t, size)
+            mean.append(np.bincount(who, loss, len(n)) / np.maximum(n, 1))
+        cols = [pa.array(n.astype(np.int64)), *[pa.array(m, mask=n == 0) for m in (*mean, mean[0] - mean[1])]]
+        return pa.table([*[rows.column(c) for c in kept], *cols], [*kept, *names])
 
-    return plain.mapInArrow(go, f"{fields}, lm_tokens long, loss_target double, loss_background double, lm_score double")
+    answers = found.filter("lm_shard IS NOT NULL").select("lm_shard", "block", "data")
+    return shards.groupBy("lm_shard").cogroup(answers.groupBy("lm_shard")).applyInArrow(go, f"{fields}, lm_tokens long, loss_target double, loss_background double, lm_score double")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +291,4 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(((F.max("quality") == 1) & (F.max("toxic") == 0)).alias("target")).withColumnRenamed("doc_id", "label_id")
     marked = docs.join(small(good), F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    return score(marked, "target").select("doc_id", "lm_tokens", F.round("loss_target", 6).alias("loss_target"), F.round("loss_background", 6).alias("loss_background"), F.round("lm_score", 6).alias("lm_score"))
+    return score(marked, "target", keep=["doc_id"]).select("doc_id", "lm_tokens", F.round("loss_target", 6).alias("loss_target"), F.round("loss_background", 6).alias("loss_background"), F.round("lm_score", 6).alias("lm_score"))

@@ -206,6 +206,40 @@ def test_lm_scoring(spark, docs, none):
     assert lm_scoring.score(none.selectExpr("doc_id", "text", "true AS target"), "target", vocabulary=4).count() == 0
 
 
+def test_lm_scoring_counts_every_word(spark):
+    """Rare words are words of the model, as by brute force; shards and blocks of any number agree."""
+    rnd = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice(common) if rnd.random() < 0.5 else f"r{rnd.randrange(9000)}" for _ in range(rnd.randint(0, 90))) for _ in range(120)]
+    rows = [(k, t, k % 3 == 0) for k, t in enumerate([*texts, None, texts[0]])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(5)
+    chains = [(t, [None, *words(x)]) for _, x, t in rows]
+    size = len({w for _, c in chains for w in c[1:]}) + 1
+    assert size > 2048
+
+    def loss(c, mine):
+        both, one, first = Counter(), Counter(), Counter()
+        for x in mine:
+            both.update(zip(x, x[1:]))
+            one.update(x[1:])
+            first.update(x[:-1])
+        return sum(-np.log2((both[a, b] + 20 * (one[b] + 1) / (one.total() + size)) / (first[a] + 20)) for a, b in zip(c, c[1:])) / (len(c) - 1)
+
+    target, whole = [c for t, c in chains if t], [c for _, c in chains]
+    got = {r.doc_id: r for r in lm_scoring.score(frame, "target", keep=["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    for (k, _, _), (_, c) in list(zip(rows, chains))[::4] + [(rows[120], chains[120])]:
+        r = got[k]
+        assert r.lm_tokens == len(c) - 1
+        if len(c) > 1:
+            assert r.loss_target == pytest.approx(loss(c, target)) and r.loss_background == pytest.approx(loss(c, whole))
+        else:
+            assert r.loss_target is None and r.lm_score is None
+    pair = spark.createDataFrame([(1, "c0 r1 c1", True), (2, "c0 q1 c1", False)], frame.schema)
+    a, b = (r.lm_score for r in lm_scoring.score(frame.union(pair), "target").filter("doc_id IN (1, 2) AND text LIKE 'c0 _1 c1'").orderBy("doc_id").collect())
+    assert a < b
+
+
 # -- 7 --
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
