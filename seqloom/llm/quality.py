@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small
+from seqloom.llm.common import Work, small
 
-#: A line is boilerplate where more than this share of a host's different texts, and at least so many, hold it.
-LINE_SHARE, LINE_LEAST = 0.08, 20
+#: A line is boilerplate where so many of a host's different texts hold it, whatever the host's size: a line of
+#: LONG_WORDS words or more, which texts rarely share by chance, in LONG_LEAST, any other in LINE_LEAST.
+LINE_LEAST, LONG_LEAST, LONG_WORDS = 5, 3, 10
 #: A document is depleted, and rejected, where boilerplate takes more than this share of its words.
 DEPLETED = 0.5
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -28,9 +29,11 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """The hash of a line in lower case with single spaces; null for a line without words."""
+    """The hash of a line in lower case with single spaces, odd for a line of LONG_WORDS words or more; null for a
+    line without words."""
     plain = F.btrim(F.regexp_replace(F.lower(line), SPACE, " "))
-    return F.when(plain != "", F.xxhash64(plain))
+    long = (F.length(plain) - F.length(F.translate(plain, " ", "")) >= LONG_WORDS - 1).cast("long")
+    return F.when(plain != "", F.xxhash64(plain).bitwiseAND(F.lit(-2)).bitwiseOR(long))
 
 
 def repeated_words(words: Column) -> Column:
@@ -62,24 +65,24 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(near, lambda n: F.when(F.size(n) == 0, F.lit(0).cast("long")).otherwise(_let(exact(words, n), covered))))
 
 
-def frequent_lines(docs: DataFrame, host: Column, text: Column, share: float, least: int) -> DataFrame:
-    """mix of host and its boilerplate line keys: host, lines.
+def frequent_lines(docs: DataFrame, host: Column, text: Column, least: int, long_least: int) -> DataFrame:
+    """host, body, size and boilerplate, the keys of boilerplate lines, for each different text that holds any.
 
-    A host's list is short whatever its size: lines above a share of its texts number at most the mean lines of
-    a text over that share.
+    Counts meet as (host, line) after a sum in each task; no list of a host's lines is ever made.
     """
+    work = Work(docs.sparkSession, "quality")
     keys = F.array_distinct(F.filter(F.transform(lines_of(text), line_key), lambda k: k.isNotNull()))
     rows = docs.select(host.alias("host"), F.xxhash64(text).alias("body"), F.length(text).alias("size"), keys.alias("keys")).filter(text.isNotNull())
     once = rows.groupBy("host", "body", "size").agg(F.first("keys").alias("keys"))  # copies of a text count once
-    held = once.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    total = once.groupBy("host").agg(F.count("*").alias("texts"))
-    limit = F.greatest(F.lit(float(least)), F.col("texts") * share)
-    held = held.filter(F.col("n") >= least)
-    bad = held.join(small(total.withColumnRenamed("host", "host2"), 10_000), F.col("host").eqNullSafe(F.col("host2"))).filter(F.col("n") > limit)
-    return bad.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boilerplate"))
+    lines = work.table("once", once).select("host", "body", "size", F.explode("keys").alias("line"))
+    held = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
+    limit = F.when(F.col("line").bitwiseAND(F.lit(1)) == 1, F.lit(long_least)).otherwise(F.lit(least))
+    bad = work.table("bad", held.filter(F.col("n") >= limit).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line")))
+    met = lines.join(small(bad, 200_000), (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")))
+    return work.table("texts", met.groupBy("host", "body", "size").agg(F.collect_list("line").alias("boilerplate")))
 
 
-def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", share: float = LINE_SHARE, least: int = LINE_LEAST, depleted: float = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", least: int = LINE_LEAST, long_least: int | None = None, depleted: float = DEPLETED) -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left, kept
     and text_left, the text without its boilerplate lines (columns of these names give way).
 
@@ -89,8 +92,10 @@ def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept", "text_left"]
     keep = [c for c in docs.columns if c not in mine]
     text, host = F.coalesce(F.col(f"`{text_column}`"), F.lit("")), F.col(f"`{host_column}`")
-    bad = small(frequent_lines(docs, host, F.col(f"`{text_column}`"), share, least).withColumnRenamed("host", "qr_host"), 10_000)
-    rows = docs.select(*keep).join(bad, host.eqNullSafe(F.col("qr_host")), "left")
+    long_least = min(least, LONG_LEAST) if long_least is None else long_least
+    bad = frequent_lines(docs, host, F.col(f"`{text_column}`"), least, long_least).toDF("qr_host", "qr_body", "qr_size", "boilerplate")
+    same = (F.xxhash64(F.col(f"`{text_column}`")) == F.col("qr_body")) & (F.length(F.col(f"`{text_column}`")) == F.col("qr_size")) & host.eqNullSafe(F.col("qr_host"))
+    rows = docs.select(*keep).join(small(bad, 200_000), same, "left")
     rows = rows.withColumn("qr_bad", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
     words, lines = words_of(text), lines_of(text)
     with_word = F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)

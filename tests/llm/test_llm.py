@@ -335,6 +335,20 @@ def test_quality(spark, docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_rejects_what_the_base_rules_pass(spark, docs):
+    """The limit is the same in a host of 4 texts and in one of 400; a line just below it stays."""
+    own = lambda k, n: " ".join(f"v{k}x{i}" for i in range(n))
+    long, short, rare = own("long", 60), "all rights reserved.", "held by four"
+    rows = [(k, long + "\n" + own(k, 20), "small", 1) for k in range(4)]
+    for k in range(100, 500):
+        head = long + "\n" if k < 104 else short + "\n" if k < 110 else rare + "\n" if k < 114 else ""
+        rows.append((k, head + own(k, 20 if k < 104 else 60), "big", 1))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {0, 1, 2, 3, 100, 101, 102, 103}
+    assert got[105].text_left == own(105, 60) and got[111].text_left == rare + "\n" + own(111, 60)
+
+
 # -- SQL twins and the pipeline --
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twins(spark, name):
