@@ -27,14 +27,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Shingles of five words, similarity 0.8."""
+    """One row of each group stays: that with the smallest id, a null id last. Shingles of five words, similarity 0.8.
+
+    Rows are told apart by a written number of their own, so rows that link with nothing stay, whatever their id.
+    """
     work = Work(spark, "pipeline-ngrams")
-    found = work.table("found", ngram_join.near_duplicates(docs, work, width=5, percent=80))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("n"))
-    keep = work.table("keep", keep)
-    repeated = keep.filter("n > 1").limit(1).count() > 0
-    out = docs.join(small(keep.select("keep_id")), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select(*COLUMNS)
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    rows = work.table("rows", docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    found = ngram_join.near_duplicates(rows.select("row", "text"), work, width=5, percent=80, id_column="row")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    named = found.select(F.col("doc_id").alias("found_row"), "component_id").join(rows.select("row", "doc_id"), F.col("found_row") == F.col("row"))
+    keep = work.table("keep", named.groupBy("component_id").agg(F.min(place)["row"].alias("keep_row")))
+    return rows.join(small(keep.select("keep_row")), F.col("row") == F.col("keep_row"), "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -373,3 +373,14 @@ def test_pipeline(spark):
     clean = lambda t: not any(tuple(w[k : k + 10]) in grams for w in [words(t, ALNUM)] for k in range(len(w)))
     assert all(kept[2][d] == t for d, t in kept[1].items() if clean(t))
     assert seen[4].count() == seen[3].count()
+
+
+def test_near_duplicates_keep_unlinked_rows(spark):
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(1).rsplit(" ", 1)[0] + " other"
+    rows = [(None, text(5)), (None, text(6)), (None, None), (7, text(7)), (7, text(8)), (3, text(1)), (9, near), (9, text(9)), (None, text(9))]
+    frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, frame, SF).collect())
+    assert got == Counter(r for k, r in enumerate(rows) if k not in (6, 8))
