@@ -60,7 +60,7 @@ class Encoder:
 
     A byte-level vocabulary that splits by PATTERN never joins across a space that stands between two other
     characters, so texts are cut there, and the library's model sees a piece once while it is remembered. Any
-    other tokenizer gets the whole texts.
+    other tokenizer gets the whole texts, and so does every text that holds an added token such as <|endoftext|>.
     """
 
     def __init__(self, path: str, end_id: int | None = 2):
@@ -68,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)).search if added else None
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else self.dtype.type(end_id).tobytes()
         pre = self.tokenizer.pre_tokenizer
@@ -99,7 +100,7 @@ class Encoder:
         """Ids with the end id, little-endian."""
         if not text:
             return self.end
-        if not self.split:
+        if not self.split or (self.added and self.added(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + self.end
         pieces = self.safe.split(text) if self.odd.search(text) else text.split(" ")
         first = b"".join(map(self.parts.__getitem__, self.find(pieces[0])))

@@ -86,6 +86,15 @@ def test_token_files(spark, docs, none, bpe):
     assert token_files.token_index(spark, work).count() == 0
 
 
+def test_added_tokens_encode_like_the_library(spark, bpe):
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(bpe), token_files.encoder(bpe, 2)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>y", "a <|endoftext| > b", "plain words"]:
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == fresh.encode(text, add_special_tokens=False).ids + [2]
+    assert 50256 in fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 # -- 2 --
 def test_urls(spark):
     rows = [(1, "HTTP://WWW.Example.com/en/x?q#f"), (2, "http://example.com/en/"), (3, "http://example.com"), (4, None), (5, "no scheme"), (6, "a://x.net/fr/"), (7, "a://netx/es/"), (8, "a://notexample.com/en/"), (9, "x://b.c/deep/er"), (9, "x://b.c/deep/er"), (None, "://"), (10, "u://.com//en/")]
