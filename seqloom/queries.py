@@ -213,9 +213,9 @@ for _n in ("to_set", "to_hash_set"):
 add("partition", lambda t: (lambda a, b: a.df.select("o_orderkey", F.lit(True).alias("fits")).unionByName(b.df.select("o_orderkey", F.lit(False).alias("fits"))))(*t("orders").Partition(big)), "SELECT o_orderkey, o_totalprice > 100000 fits FROM orders")
 add("split_at", lambda t: (lambda a, b: a.df.select("event_id", F.lit(1).alias("part")).unionByName(b.df.select("event_id", F.lit(2).alias("part"))))(*t("events").SplitAt(333)), f"SELECT event_id, CASE WHEN i < 333 THEN 1 ELSE 2 END AS part FROM {EV}")
 add("paginate", lambda t: t("orders").OrderBy("o_totalprice").paginate_df(2, 30).select("o_orderkey", "page", "page_size", "total", F.col("total_pages").cast("long").alias("total_pages"), "has_next", "has_previous"), "SELECT o_orderkey, 2 AS page, 30 AS page_size, (SELECT count(*) FROM orders) AS total, CAST(ceil((SELECT count(*) FROM orders) / 30.0) AS BIGINT) total_pages, (SELECT count(*) FROM orders) > 60 AS has_next, true AS has_previous FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 30 OFFSET 30)")
-add("cursor_page", lambda t: t("orders").OrderBy("o_totalprice").Skip(60).Take(21).SelectKeys("o_orderkey").df, "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 21 OFFSET 60")
+add("cursor_page", lambda t: (lambda s: s.spark.createDataFrame([(r,) for r in s.OrderBy("o_totalprice").Pluck("o_orderkey").CursorPage(21, "60").items], "o_orderkey long"))(t("orders")), "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 21 OFFSET 60")
 add("keyset_page", lambda t: t("orders").KeysetPage(20, "o_orderkey", 500).SelectKeys("o_orderkey").df, "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 20")
-add("for_each", lambda t: t("nation").SelectKeys("n_nationkey").df, "SELECT n_nationkey FROM nation")
+add("for_each", lambda t: (lambda s, seen: (s.Pluck("n_nationkey").ForEach(lambda k: seen.append((k,))), s.spark.createDataFrame(seen, "n_nationkey int"))[1])(t("nation"), []), "SELECT n_nationkey FROM nation")
 add("explain", lambda t: (lambda s: s.spark.createDataFrame([(e["index"], e["kind"]) for e in s.Explain()], "idx long, kind string"))(t("orders").Where(big).OrderBy("o_totalprice").Take(3)), "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'where'), (1, 'orderBy'), (2, 'take')) t(idx, kind)")
 add("explain_text", lambda t: (lambda s: s.spark.createDataFrame([(s.ExplainText(),)], "text string"))(t("orders").Where(big).Take(3)), "SELECT '0: where' || chr(10) || '1: take (3)' AS text")
 
