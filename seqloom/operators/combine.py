@@ -73,10 +73,17 @@ class Combine(Base):
         return self._result(o, i, left.join(right, cond, "right"), result, [*ikeys, *o._keys], "rightJoin")
 
     def FullJoin(self, inner, outer_key, inner_key, result=None, on=None):
-        """Outer items first, matched or not, then the unmatched inner ones in their order."""
+        """Outer items first, matched or not, then the unmatched inner ones in their order.
+
+        A left join and then the inner rows whose key no outer row has: Spark's own full join holds all rows of a
+        key in memory and never splits a hot one, while a left join spills and is split.
+        """
         o, i, left, right, cond, ikeys = self._sides(inner, outer_key, inner_key, on)
         late = fresh("u")
-        df = left.join(right, cond, "full").withColumn(late, F.col(f"{L}p").isNull())
+        keys = left.select(next(c for c in left.columns if c.startswith(f"{HIDDEN}ok"))).distinct()
+        met = left.join(right, cond, "left").withColumn(late, F.lit(False))
+        rest = right.join(keys, cond, "left_anti").withColumn(late, F.lit(True))
+        df = met.unionByName(rest, allowMissingColumns=True)
         return self._result(o, i, df, result, [Key(late), *o._keys, *ikeys], "fullJoin")
 
     def GroupJoin(self, inner, outer_key, inner_key, result=None, on=None):
