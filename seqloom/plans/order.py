@@ -7,6 +7,9 @@ positions or a terminal returns rows.
 from __future__ import annotations
 
 import itertools
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +18,11 @@ from pyspark.sql import types as T
 
 HIDDEN = "__sl_"
 ORD = f"{HIDDEN}ord"
-#: Plans estimated above this many bytes get the distributed ordinal instead of a one-partition window.
-ONE_TASK_BYTES = 256 << 20
+#: Plans estimated above this many bytes (compressed ones, where files are read) get the distributed ordinal instead
+#: of a one-partition window.
+ONE_TASK_BYTES = 32 << 20
+#: What a row counts where only rows can be counted.
+ROW_BYTES = 32
 #: Rows in a block of the two-level running aggregates.
 BLOCK_ROWS = 1 << 20
 
@@ -77,16 +83,14 @@ def estimated_bytes(df: DataFrame) -> int:
 def with_ordinal(df: DataFrame, keys: list[Key], one_task_bytes: int | None = None) -> DataFrame:
     """Adds ORD, the 0-based position in the given order.
 
-    Small inputs use one window. Larger ones are range-sorted once and checkpointed, after which each row's
-    position is its partition's offset plus its place in the partition; only the per-partition counts meet in
-    one task.
+    Small inputs use one window. Larger ones are range-sorted once and written, after which each row's position is
+    its partition's offset plus its place in the partition; only the per-partition counts meet in one task.
     """
     order = [k.column() for k in keys] or [F.monotonically_increasing_id()]
-    if estimated_bytes(df) <= (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
+    if _small(df, ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
         return df.withColumn(ORD, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    ensure_checkpoint_dir(df)
     at, pid, offset = fresh("m"), fresh("p"), fresh("s")
-    fixed = df.orderBy(*order).checkpoint(eager=True).withColumn(at, F.monotonically_increasing_id())
+    fixed = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
     fixed = fixed.withColumn(pid, F.shiftright(at, 33))
     totals = fixed.groupBy(pid).agg(F.count("*").alias("n"))
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,11 +99,55 @@ def with_ordinal(df: DataFrame, keys: list[Key], one_task_bytes: int | None = No
     return fixed.join(F.broadcast(totals), pid).withColumn(ORD, F.col(offset) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, pid, offset)
 
 
+def _small(df: DataFrame, most: int) -> bool:
+    """Whether one task may sort the frame: by Catalyst's estimate, and where the plan makes rows that the estimate
+    does not see (exploded arrays, Python functions), by a count that stops at as many rows."""
+    if estimated_bytes(df) > most:
+        return False
+    if not re.search(r"\b(Generate|MapIn\w+|FlatMap\w+) ", df._jdf.queryExecution().optimizedPlan().toString()):
+        return True
+    rows = max(1, most // ROW_BYTES)
+    return df.limit(rows + 1).count() <= rows
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, gone when the driver ends: a lost executor costs nothing
+    that came before it. Types that Parquet lacks are checkpointed instead."""
+    spark = df.sparkSession
+    try:
+        path = temporary(spark, f"seqloom-{uuid.uuid4().hex}")
+    except RuntimeError:
+        path = None
+    if path is None or any(isinstance(f.dataType, (T.NullType, T.CalendarIntervalType)) for f in df.schema.fields):
+        ensure_checkpoint_dir(df)
+        return df.checkpoint(eager=True)
+    df.write.parquet(f"{path}/table")
+    return spark.read.schema(df.schema).parquet(f"{path}/table")
+
+
+def shared_folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where all tasks run here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/seqloom-checkpoints"
+
+
+def temporary(spark, name: str) -> str:
+    """A new folder in the shared one, which Hadoop deletes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Uses spark.checkpoint.dir where the cluster names it; a folder of our own only without one."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/seqloom-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def running(df: DataFrame, name: str, kind: str, value: Column, block: int = BLOCK_ROWS) -> DataFrame:
