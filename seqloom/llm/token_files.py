@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Work, chunks, pack, tasks, unpack
+from seqloom.llm.common import Work, chunks, pack, tasks, unpack, utf8
 
 #: Longest code in bits: the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -29,8 +30,10 @@ MAX_BITS = 18
 BLOCK = 512
 #: Tokens in a segment.
 SEGMENT = 1 << 20
-#: Pieces that a worker remembers in each of two generations.
-CACHE = 400_000
+#: Pieces that a worker remembers in each of two generations: up to 40 MB each, whatever the corpus.
+CACHE = 200_000
+#: Longer pieces are not remembered.
+LONG = 64
 
 #: Fixed value: the splitting pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,11 +59,11 @@ class _Cache(dict):
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each different piece once.
+    """Whole texts to ids with the tokenizers library, each different piece of a chunk of texts once.
 
-    A byte-level vocabulary that splits by PATTERN never joins across a space that stands between two other
-    characters, so texts are cut there, and the library's model sees a piece once while it is remembered. Any
-    other tokenizer gets the whole texts, and so does every text that holds an added token such as <|endoftext|>.
+    A byte-level vocabulary that splits by PATTERN never joins across some places, such as a space between two other
+    characters: texts are cut there, and Arrow finds the different pieces of all texts of a chunk. Any other
+    tokenizer gets the whole texts, and so does every text that holds an added token such as <|endoftext|>.
     """
 
     def __init__(self, path: str, end_id: int | None = 2):
@@ -68,43 +71,128 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(added)).search if added else None
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(added)).search if added else None
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else self.dtype.type(end_id).tobytes()
+        self.end = np.array([] if end_id is None else [end_id], self.dtype)
         pre = self.tokenizer.pre_tokenizer
         shape = pre.__getstate__() if pre is not None else b""
         self.split = b'"ByteLevel"' in shape and b'"add_prefix_space":false' in shape and b"Sequence" not in shape and self.tokenizer.normalizer is None
         self.find = regex.compile(PATTERN).findall
-        self.odd = re.compile(r"(?:^|\s) | (?:\s|$)")
-        self.safe = re.compile(r"(?<=\S) (?=\S)")
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(keep)]
         self.bytes = str.maketrans({chr(b): chr(256 + n) for n, b in enumerate(other)})
-        self.parts = _Cache(self._part, CACHE // 8)
-        self.words = _Cache(self._word, CACHE)
+        self.space, self.code = self.bytes[32], "H" if self.dtype.itemsize == 2 else "I"
+        self.parts = _Cache(self._part, CACHE // 4)
+        self.pieces = _Cache(self._piece, CACHE)
 
     def _part(self, part: str) -> bytes:
-        text = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], self.dtype).tobytes()
+        text = part.encode().decode("latin-1").translate(self.bytes)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A piece with the space before it."""
-        if word.isalpha():
-            return self._part(" " + word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.parts[word[-1]]
-        return b"".join(self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.parts[p] for p in self.find(" " + word))
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            text = self.space + text[1:] if text[0] == " " else text
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        if text[:1] == " " and text[1:].isalpha():
+            return self._part(text)
+        return b"".join(self.parts[p] if len(p) <= LONG else self._part(p) for p in self.find(text))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, text: str) -> bytes:
-        """Ids with the end id, little-endian."""
-        if not text:
-            return self.end
-        if not self.split or (self.added and self.added(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + self.end
-        pieces = self.safe.split(text) if self.odd.search(text) else text.split(" ")
-        first = b"".join(map(self.parts.__getitem__, self.find(pieces[0])))
-        return first + b"".join(map(self.words.__getitem__, pieces[1:])) + self.end
+        """Ids of one text with the end id, little-endian."""
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id after it, and where each text's ids begin, and the end."""
+        raw, offsets = utf8(texts)
+        if not self.split or (self.added and self.added(raw)):
+            each = [np.concatenate([self._text(raw[a:b]), self.end]) for a, b in zip(offsets[:-1], offsets[1:])]
+            return np.concatenate([np.zeros(0, self.dtype), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
+        starts = cuts(raw, offsets[:-1][np.diff(offsets) > 0])
+        ids, n = self._ids(raw, starts)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        first = upto[np.searchsorted(starts, offsets)]
+        if not len(self.end):
+            return ids, first
+        begin = first + np.arange(len(first))
+        out = np.full(begin[-1], self.end[0], self.dtype)
+        inside = np.ones(len(out), bool)
+        inside[begin[1:] - 1] = False
+        out[inside] = ids
+        return out, begin
+
+    def _text(self, raw: np.ndarray) -> np.ndarray:
+        if not self.split or self.added(raw):
+            return self._whole(raw.tobytes().decode())
+        return self._ids(raw, cuts(raw, np.zeros(min(1, len(raw)), np.int64)))[0]
+
+    def _ids(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces that begin at the starts and fill raw, and how many ids each piece has."""
+        if not len(starts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        ends = np.append(starts, len(raw)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        at = np.asarray(coded.indices)
+        _, ends, data = coded.dictionary.buffers()
+        ends, data = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+        each = [self.pieces[data[a:b]] if b - a <= LONG else self._piece(data[a:b]) for a, b in zip(ends, ends[1:])]
+        size = np.array([len(x) for x in each], np.int64) // self.dtype.itemsize
+        known = np.frombuffer(b"".join(each), self.dtype)
+        n = size[at]
+        upto = np.cumsum(n)
+        place = np.repeat((np.cumsum(size) - size)[at] - (upto - n), n)
+        return known[place + np.arange(len(place))], n
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[33:127] = True
+#: ASCII letters, digits, signs, the apostrophe, which may begin a piece with letters, and the line feed.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[39], _KIND[10] = 4, 5
+
+
+def cuts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at the first byte of each text, at safe spaces, and between ASCII characters where PATTERN
+    always ends a piece: where letters, digits and signs meet, and beside a single line feed."""
+    at = np.zeros(len(raw) + 1, bool)
+    kind = _KIND[raw]
+    a, b = kind[:-1], kind[1:]
+    at[1:-1] = (a != b) & (a > 0) & (b > 0) & (a != 4) & ~((a == 3) & (b == 4))
+    feed = np.flatnonzero(a == 5)
+    at[feed[(feed == 0) | (kind[feed - 1] == 0) | (kind[feed - 1] == 5)] + 1] = False  # white space of several characters ends otherwise
+    at[first] = at[safe_spaces(raw)] = True
+    return np.flatnonzero(at)
+
+
+def safe_spaces(raw: np.ndarray) -> np.ndarray:
+    """Places of spaces that stand between two characters other than white space of any kind."""
+    at = np.flatnonzero(raw == 32)
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    before, after = _PLAIN[raw[at - 1]], _PLAIN[raw[at + 1]]
+    odd = np.flatnonzero(~(before & after))  # beside control characters, other spaces or beyond ASCII
+    if len(odd):
+        pad = np.concatenate([np.full(3, 32, np.uint8), raw, np.full(3, 32, np.uint8)])
+        o = at[odd] + 3
+        left = before[odd] | ((pad[o - 1] >= 128) & ~_blank(pad[o - 3], pad[o - 2], pad[o - 1]))
+        right = after[odd] | ((pad[o + 1] >= 194) & ~(_blank(np.zeros(len(o), np.uint8), pad[o + 1], pad[o + 2]) | _blank(pad[o + 1], pad[o + 2], pad[o + 3])))
+        at = np.delete(at, odd[~(left & right)])
+    return at
+
+
+def _blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether bytes end in white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029,
+    U+202F, U+205F, U+3000 (fixed values)."""
+    two = (b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return two | general | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
 
 
 _ENCODERS: dict = {}
@@ -222,12 +310,14 @@ def write_tokens(docs: DataFrame, work: Work, path: str, end_id: int | None = 2,
         enc = encoder(path, end_id)
         seen = np.zeros(0, np.int64)
         for b in chunks(batches, "text"):
-            ids = [enc.encode(t or "") for t in b.column("text").to_pylist()]
-            n = np.bincount(np.frombuffer(b"".join(ids), enc.dtype))
+            ids, begin = enc.encode_all(b.column("text"))
+            n = np.bincount(ids)
             if len(n) > len(seen):
                 seen = np.concatenate([seen, np.zeros(len(n) - len(seen), np.int64)])
             seen[: len(n)] += n
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
+            at = (begin * enc.dtype.itemsize).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at), pa.py_buffer(ids)])
+            yield pa.record_batch([b.column("doc_id"), data, pa.nulls(b.num_rows, pa.binary())], ["doc_id", "ids", "counts"])
         used = np.flatnonzero(seen)
         yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(used.astype(np.int64), seen[used])], pa.binary())], ["doc_id", "ids", "counts"])
 
