@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.plans.order import temporary
+
 #: A side of at most this many rows of a few numbers each may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that the numpy code handles at once.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    ours = "/tmp/seqloom-checkpoints"
-    return (spark.conf.get("spark.checkpoint.dir", None) or ours).rstrip("/")
-
-
 class Work:
-    """Tables written between the stages of one operator, so that no stage depends on an executor's memory."""
+    """Tables written between the stages of one operator, so that no stage depends on an executor's memory. Their
+    folder is in the shared one and goes when the driver ends: results to keep are written elsewhere."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, temporary(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
@@ -54,6 +53,27 @@ def tasks(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
+def release() -> None:
+    """Gives free memory of this process back, which else stays with a Python worker while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(func: Callable) -> Callable:
+    """A function over batches that releases memory when a task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from func(batches)
+        finally:
+            release()
+
+    return run
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,7 +244,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
 
     now, n = edges.filter("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), 0
     while True:
-        least = now.mapInArrow(local, "u long, v long").groupBy("u").agg(F.collect_set("v").alias("all"))
+        least = now.mapInArrow(tidy(local), "u long, v long").groupBy("u").agg(F.collect_set("v").alias("all"))
         least = work.table(f"cc{run}-least{n}", least.withColumn("m", F.array_min("all")))
         moved = least.filter(F.size("all") > 1).select(F.explode("all").alias("u"), "m").filter("u <> m").distinct()
         edge = least.select("u", F.col("m").alias("v"), (F.size("all") > 1).alias("busy")).union(moved.select("u", F.col("m").alias("v"), F.lit(True)))

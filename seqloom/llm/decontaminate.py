@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import ALNUM, Words, chunks, utf8
+from seqloom.llm.common import ALNUM, Words, chunks, tidy, utf8
 
 #: Words in a window.
 WINDOW = 10
@@ -239,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
             cols += [pa.array([sorted(by_doc.get(c, ())) for c in code.tolist()], pa.list_(pa.string())), pa.array([[] if cut else spans.get(c, []) for c in code.tolist()], span)]
             yield pa.record_batch(cols, [*kept, *mine])
 
-    return plain.mapInArrow(search, schema)
+    return plain.mapInArrow(tidy(search), schema)
 
 
 def without(text: str | None, spans: list | None) -> str | None:

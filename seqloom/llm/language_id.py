@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import chunks, utf8
+from seqloom.llm.common import chunks, tidy, utf8
 
 #: Families of common language codes. A code not listed is a family of its own.
 FAMILIES = {
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, id_column: str = "doc_id", te
                 i = [np.flatnonzero(r) for r in x]
                 yield pa.record_batch([part.column("lang"), pa.array([k.astype(np.uint16).tobytes() for k in i], pa.binary()), pa.array([r[k].tobytes() for r, k in zip(x, i)], pa.binary())], ["lang", "at", "x"])
 
-    got = texts.filter(F.col("lang").isNotNull()).mapInArrow(sparse, "lang string, at binary, x binary").orderBy("lang", F.xxhash64("at", "x")).collect()
+    got = texts.filter(F.col("lang").isNotNull()).mapInArrow(tidy(sparse), "lang string, at binary, x binary").orderBy("lang", F.xxhash64("at", "x")).collect()
     x = np.zeros((len(got), BUCKETS), np.float32)
     for r, row in zip(got, x):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
                 cols = [pa.array([c if ok else "und" for c, ok in zip(langs, letters)]), pa.array(np.where(letters, np.clip(sure, 0, 1), 0.0).astype(float))]
                 yield pa.record_batch([*[b.column(c) for c in kept], *cols], [*kept, "lang_pred", "score"])
 
-    return plain.mapInArrow(go, f"{fields}, lang_pred string, score double")
+    return plain.mapInArrow(tidy(go), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id) -> bool:

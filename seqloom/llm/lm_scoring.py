@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, mix, pack, small, tasks, unpack, utf8
+from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, mix, pack, release, small, tasks, tidy, unpack, utf8
 
 #: Weight of the word's own frequency in its smoothed bigram probability.
 BACKOFF = 20.0
@@ -113,7 +113,7 @@ def vocabulary_of(docs: DataFrame, size: int, text_column: str = "text") -> np.n
             yield pa.record_batch([pa.array(h[best].astype(np.int64)), pa.array(n[best])], ["h", "n"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select(text_column).mapInArrow(count, "block int, data binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(total, "h long, n long")
+    found = docs.select(text_column).mapInArrow(tidy(count), "block int, data binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(total), "h long, n long")
     top = found.orderBy(F.desc("n"), "h").limit(size).collect()
     return np.array([r["h"] for r in top], np.int64).astype(np.uint64)
 
@@ -139,7 +139,7 @@ def sharded(docs: DataFrame, text_column: str) -> DataFrame:
         if held:
             yield pack_rows(shard, held)
 
-    return docs.mapInArrow(go, "lm_shard long, rows binary")
+    return docs.mapInArrow(tidy(go), "lm_shard long, rows binary")
 
 
 def rows_of(data: bytes) -> pa.Table:
@@ -215,9 +215,9 @@ def counts_of(shards: DataFrame, vocabulary, bits_: int, text_column: str, targe
             yield from summed(now, shard, data)
 
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = shards.mapInArrow(count, "block long, lm_shard long, data binary")
+    asked = shards.mapInArrow(tidy(count), "block long, lm_shard long, data binary")
     asked = asked.repartition(max(parts, (1 << bits_) // 4), "block").sortWithinPartitions("block")
-    return asked.mapInArrow(total, "block long, lm_shard long, data binary, words long, whole_sum long, part_sum long")
+    return asked.mapInArrow(tidy(total), "block long, lm_shard long, data binary, words long, whole_sum long, part_sum long")
 
 
 def _answers(block: int, *cols: list) -> pa.RecordBatch:
@@ -264,6 +264,7 @@ def score(docs: DataFrame, target_column: str, text_column: str = "text", vocabu
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[: len(kept)])
 
     def go(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        release()  # what the shard before left
         rows = rows_of(rows.column("rows")[0].as_buffer())
         ids, of = word_ids(rows.column("lm_text"), shared.value)
         pair, before, who = keys_of(ids, of)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, components, mix, pack, small, tasks, unpack, utf8
+from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, components, mix, pack, small, tasks, tidy, unpack, utf8
 
 #: Columns of up to this many rows are multiplied out.
 SHORT = 12
@@ -137,7 +137,7 @@ class Join:
                 yield pa.record_batch([pa.array(h[n > 2].astype(np.int64)), pa.array(n[n > 2])], ["h", "n"])
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = part.mapInArrow(count, "block int, data binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(total, "h long, n long")
+        found = part.mapInArrow(tidy(count), "block int, data binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(total), "h long, n long")
         top = found.orderBy(F.desc("n"), "h").limit(MOST).select("h").toPandas()  # at most MOST numbers
         return np.sort(top["h"].to_numpy(np.int64).astype(np.uint64))
 
@@ -194,7 +194,7 @@ class Join:
                     yield from flush()
             yield from flush()
 
-        rows = self.work.table("pass", self.docs.mapInArrow(go, "block int, data binary"))
+        rows = self.work.table("pass", self.docs.mapInArrow(tidy(go), "block int, data binary"))
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -210,9 +210,9 @@ class Join:
                     data = [d[8 * n + k * width : 8 * n + (k + 1) * width] for k in range(n)]
                     yield pa.record_batch([pa.array(np.frombuffer(d, np.int64, n)), pa.array(data, pa.binary())], ["entity", "sizes"])
 
-        by_range = rows.filter("block < -1").mapInArrow(spread_sizes, "entity long, sizes binary")
+        by_range = rows.filter("block < -1").mapInArrow(tidy(spread_sizes), "entity long, sizes binary")
         by_range = self.work.table("sizes", by_range.groupBy("entity").agg(F.first("sizes").alias("sizes")))
-        docs = self.work.table("docs", rows.filter("block = -1").select("data").mapInArrow(spread, "doc_id long, n long, entity long"))
+        docs = self.work.table("docs", rows.filter("block = -1").select("data").mapInArrow(tidy(spread), "doc_id long, n long, entity long"))
         return docs, by_range, rows.filter("block >= 0")
 
     # -- the blocked product -------------------------------------------------------------------------------
@@ -269,7 +269,7 @@ class Join:
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = entries.repartition(parts, "block").sortWithinPartitions("block")
-        return self.work.table("cand", rows.mapInArrow(product, ", ".join(f"{c} long" for c in names)))
+        return self.work.table("cand", rows.mapInArrow(tidy(product), ", ".join(f"{c} long" for c in names)))
 
     # -- exact overlaps ------------------------------------------------------------------------------------
     def overlaps(self, name: str, docs: DataFrame, by_range: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ class Join:
                 cols = list(zip(*out)) or [(), (), ()]
                 yield pa.record_batch([b.column("a"), b.column("b"), *[pa.array(c, pa.int64()) for c in cols]], ["a", "b", "na", "nb", "most"])
 
-        bounded = self._beside(pairs.select("a", "b"), part, "sizes").mapInArrow(bound, "a long, b long, na long, nb long, most long")
+        bounded = self._beside(pairs.select("a", "b"), part, "sizes").mapInArrow(tidy(bound), "a long, b long, na long, nb long, most long")
         bounded = self.work.table(f"bound{name}", bounded)
         self.work.drop(f"wanted{name}")
         return self.measure(name, docs, bounded)
@@ -321,7 +321,7 @@ class Join:
                 yield pa.record_batch([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], ["entity", "members"])
 
         texts = self.docs.join(holder, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi").select("text")
-        whole = self.work.table(f"sets{name}", texts.mapInArrow(sets, "entity long, members binary").groupBy("entity").agg(F.first("members").alias("members")))
+        whole = self.work.table(f"sets{name}", texts.mapInArrow(tidy(sets), "entity long, members binary").groupBy("entity").agg(F.first("members").alias("members")))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -331,7 +331,7 @@ class Join:
                     out.append(int((m[1:] == m[:-1]).sum()))
                 yield pa.record_batch([b.column("a"), b.column("b"), pa.array(out, pa.int64())], ["a", "b", "both"])
 
-        done = self.work.table(f"pairs{name}", self._beside(pairs, whole, "members").mapInArrow(count, "a long, b long, both long"))
+        done = self.work.table(f"pairs{name}", self._beside(pairs, whole, "members").mapInArrow(tidy(count), "a long, b long, both long"))
         self.work.drop(f"sets{name}")
         return done
 
@@ -434,7 +434,7 @@ class Join:
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = left.join(vectors, F.col("a") == F.col("entity")).select("col", "a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component", "sizes").repartition(parts, "col").sortWithinPartitions("col")
-        new = rows.mapInArrow(pairs, "a long, b long, na long, nb long, most long").distinct()
+        new = rows.mapInArrow(tidy(pairs), "a long, b long, na long, nb long, most long").distinct()
         return new.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 
     def run(self) -> DataFrame:

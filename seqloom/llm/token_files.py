@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Work, chunks, pack, tasks, unpack, utf8
+from seqloom.llm.common import Work, chunks, pack, tasks, tidy, unpack, utf8
 
 #: Longest code in bits: the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
@@ -321,7 +321,7 @@ def write_tokens(docs: DataFrame, work: Work, path: str, end_id: int | None = 2,
         used = np.flatnonzero(seen)
         yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pack(used.astype(np.int64), seen[used])], pa.binary())], ["doc_id", "ids", "counts"])
 
-    ids = work.table("ids", plain.mapInArrow(encode, "doc_id long, ids binary, counts binary"))
+    ids = work.table("ids", plain.mapInArrow(tidy(encode), "doc_id long, ids binary, counts binary"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,7 +329,7 @@ def write_tokens(docs: DataFrame, work: Work, path: str, end_id: int | None = 2,
                 token, count = unpack(d, np.int64, np.int64)
                 yield pa.record_batch([pa.array(token), pa.array(count)], ["token", "n"])
 
-    counts = ids.filter("counts IS NOT NULL").select("counts").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    counts = ids.filter("counts IS NOT NULL").select("counts").mapInArrow(tidy(spread), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
     found = counts.toPandas()  # one row for each id of the vocabulary at most
     dense = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, np.int64)
     dense[found["token"].to_numpy()] = found["count"].to_numpy()
@@ -370,7 +370,7 @@ def write_tokens(docs: DataFrame, work: Work, path: str, end_id: int | None = 2,
     rows = rows.withColumn("tie", F.xxhash64("ids"))
     parts = max(1, tasks(plain))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    rows.mapInArrow(compress, "seq long, docs binary, bits binary, marks binary").withColumn("part", F.spark_partition_id()).write.parquet(f"{work.root}/parts")
+    rows.mapInArrow(tidy(compress), "seq long, docs binary, bits binary, marks binary").withColumn("part", F.spark_partition_id()).write.parquet(f"{work.root}/parts")
     work.drop("ids")
 
 
@@ -400,7 +400,7 @@ def _read(spark: SparkSession, work: Work, with_tokens: bool) -> DataFrame:
 
     schema = "doc_id long, part long, seq long, at long, n_tokens long, ids_crc32 long" + ", tokens binary" * with_tokens
     raw = spark.read.parquet(f"{work.root}/parts").select("part", "seq", "docs", "bits", "marks")
-    return raw.mapInArrow(decode, schema)
+    return raw.mapInArrow(tidy(decode), schema)
 
 
 def token_index(spark: SparkSession, work: Work) -> DataFrame:

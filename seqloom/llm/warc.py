@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Work, chunks
+from seqloom.llm.common import Work, chunks, tidy
 
 VERSION = "WARC/1.1"  # fixed value
 CRLF = b"\r\n"
@@ -72,7 +72,7 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
             yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("url"), pa.array(cols[0], pa.binary()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(body, pa.binary())], ["rid", "page_id", "url", "payload", "sha1", "length", "body"])
 
     # one pass over the payloads: the rows and their bytes are written once, and each is read by column
-    rows = work.table("rows", plain.mapInArrow(facts, "rid long, page_id long, url string, payload binary, sha1 string, length long, body binary"))
+    rows = work.table("rows", plain.mapInArrow(tidy(facts), "rid long, page_id long, url string, payload binary, sha1 string, length long, body binary"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "rid")).alias("first")
     owners = work.table("owners", rows.groupBy("payload").agg(first))
     marked = rows.select("rid", "page_id", "url", "payload", "sha1", "length").join(owners.select(F.col("payload").alias("digest"), "first"), F.col("payload") == F.col("digest")).drop("digest")
@@ -88,7 +88,7 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
             to = [o["rid"] if k == "revisit" else None for o, k in zip(d["first"], kinds)]
             yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("payload"), pa.array(kinds), pa.array(to, pa.int64()), pa.array(out, pa.binary())], ["rid", "page_id", "payload", "type", "refers_rid", "head"])
 
-    work.table("headers", marked.mapInArrow(heads, "rid long, page_id long, payload binary, type string, refers_rid long, head binary"))
+    work.table("headers", marked.mapInArrow(tidy(heads), "rid long, page_id long, payload binary, type string, refers_rid long, head binary"))
     # the bytes of each payload once: of its first row
     kept = owners.select(F.col("first.rid").alias("owner"))
     work.table("payloads", rows.select("rid", "payload", "length", "sha1", "body").join(kept, F.col("rid") == F.col("owner"), "left_semi").drop("rid"))
@@ -128,7 +128,7 @@ def read_back(records_: DataFrame) -> DataFrame:
                 digests.append(claimed)
             yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("refers_rid"), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["rid", "page_id", "refers_rid", "record_type", "n", "sha1"])
 
-    return records_.mapInArrow(check, "rid long, page_id long, refers_rid long, record_type string, n long, sha1 string")
+    return records_.mapInArrow(tidy(check), "rid long, page_id long, refers_rid long, record_type string, n long, sha1 string")
 
 
 def write_files(records_: DataFrame, path: str) -> None:
@@ -152,7 +152,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     at = end + n + 4
                 yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "record binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(cut), "record binary")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
