@@ -1,13 +1,15 @@
 """Content-addressed WARC archive: payload bytes once by digest, exact headers apart, records by joins.
 
-Tables of an archive: `headers` (rid, page_id, payload, type, refers_rid, head: the record's header block, exact)
-and `payloads` (payload: SHA-256 of the bytes, body, length, sha1). A record is head, body, CRLF CRLF.
+Tables of an archive: `headers` (rid, page_id, payload, type, refers_rid, head: the record's header block, exact),
+`payloads` (payload: SHA-256 of the bytes, length, sha1, body), in buckets by payload, and `layout` (their number). A
+record is head, body, CRLF CRLF.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +22,8 @@ from seqloom.llm.common import Work, chunks, tidy
 VERSION = "WARC/1.1"  # fixed value
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Digests that a task remembers; beyond them it hands on some bytes again.
+SEEN = 500_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 
 
@@ -55,27 +59,39 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str = "page_id", url_column: str = "url", body_column: str = "html") -> None:
-    """One record a row. Null payloads are empty, and null URLs too; other columns are not read.
+    """One record a row. Null payloads are empty, and null URLs too; other columns are not read. An empty table gives
+    an empty archive.
 
     Of equal payloads of at least `least` bytes the row with the smallest id (nulls last, then the smallest row
     number) becomes the response and the others revisit it; smaller payloads are all responses. Groups of equal
-    payloads meet only as (digest, smallest row), pre-aggregated, so a payload that a third of the rows share
-    costs no more than any other.
+    payloads meet only as (digest, smallest row), pre-aggregated, and a task hands on the bytes of a payload once, so
+    a payload that a third of the rows share costs no more than any other. Bytes are shuffled once, into the buckets
+    that they stay in.
     """
+    spark = pages.sparkSession
     plain = pages.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{body_column}`").cast("binary").alias("body"))
     plain = plain.withColumn("rid", F.monotonically_increasing_id())
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in chunks(batches, "body"):
             body = [x or b"" for x in b.column("body").to_pylist()]
-            cols = [[hashlib.sha256(x).digest() for x in body], [sha1_base32(x) for x in body], [len(x) for x in body]]
-            yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("url"), pa.array(cols[0], pa.binary()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(body, pa.binary())], ["rid", "page_id", "url", "payload", "sha1", "length", "body"])
+            digest = [hashlib.sha256(x).digest() for x in body]
+            cols = [pa.array(digest, pa.binary()), pa.array([sha1_base32(x) for x in body]), pa.array([len(x) for x in body], pa.int64())]
+            for k, d in enumerate(digest):
+                if d in seen:
+                    body[k] = None  # the task has handed these bytes on
+                seen.add(d)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("url"), *cols, pa.array(body, pa.binary())], ["rid", "page_id", "url", "payload", "sha1", "length", "body"])
 
     # one pass over the payloads: the rows and their bytes are written once, and each is read by column
     rows = work.table("rows", plain.mapInArrow(tidy(facts), "rid long, page_id long, url string, payload binary, sha1 string, length long, body binary"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "rid")).alias("first")
-    owners = work.table("owners", rows.groupBy("payload").agg(first))
-    marked = rows.select("rid", "page_id", "url", "payload", "sha1", "length").join(owners.select(F.col("payload").alias("digest"), "first"), F.col("payload") == F.col("digest")).drop("digest")
+    owners = rows.groupBy("payload").agg(first).select(F.col("payload").alias("digest"), "first")
+    # digests and headers only; a merge join, whose hot keys are split, at every size
+    marked = rows.select("rid", "page_id", "url", "payload", "sha1", "length").join(owners.hint("merge"), F.col("payload") == F.col("digest")).drop("digest")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,11 +104,21 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
             to = [o["rid"] if k == "revisit" else None for o, k in zip(d["first"], kinds)]
             yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("payload"), pa.array(kinds), pa.array(to, pa.int64()), pa.array(out, pa.binary())], ["rid", "page_id", "payload", "type", "refers_rid", "head"])
 
-    work.table("headers", marked.mapInArrow(tidy(heads), "rid long, page_id long, payload binary, type string, refers_rid long, head binary"))
-    # the bytes of each payload once: of its first row
-    kept = owners.select(F.col("first.rid").alias("owner"))
-    work.table("payloads", rows.select("rid", "payload", "length", "sha1", "body").join(kept, F.col("rid") == F.col("owner"), "left_semi").drop("rid"))
-    work.drop("rows", "owners")
+    work.table("headers", marked.mapInArrow(tidy(heads), HEADERS))
+    # of each payload's bytes, one of the copies that tasks handed on, in the buckets that reading joins by
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work.table("layout", spark.createDataFrame([(n,)], "buckets int"))
+    handed = rows.filter("body IS NOT NULL").select("payload", "length", "sha1", "body").repartition(n, "payload")
+    kept = handed.groupBy("payload").agg(*[F.first(c).alias(c) for c in ("length", "sha1", "body")])
+    kept.write.insertInto(_payloads(spark, work, n))
+    work.drop("rows")
+
+
+def _payloads(spark: SparkSession, work: Work, buckets: int) -> str:
+    """The name under which the session knows the archive's bucketed payloads."""
+    name = "seqloom_" + re.sub(r"\W", "_", work.root.rstrip("/").rsplit("/", 1)[-1])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PAYLOADS}) USING parquet CLUSTERED BY (payload) INTO {buckets} BUCKETS LOCATION '{work.root}/payloads'")
+    return name
 
 
 HEADERS = "rid long, page_id long, payload binary, type string, refers_rid long, head binary"
@@ -100,10 +126,11 @@ PAYLOADS = "payload binary, length long, sha1 string, body binary"
 
 
 def records(spark: SparkSession, work: Work) -> DataFrame:
-    """rid, page_id, payload, type, refers_rid and the exact bytes of each record, joined from the archive."""
+    """rid, page_id, payload, type, refers_rid and the exact bytes of each record, joined from the archive. Headers
+    are dealt out as the payloads' buckets are, so no payload moves."""
     empty = lambda s: spark.createDataFrame([], s).schema
-    heads, bodies = work.read("headers", empty(HEADERS)), work.read("payloads", empty(PAYLOADS))
-    body = bodies.select(F.col("payload").alias("digest"), "body")
+    heads, buckets = work.read("headers", empty(HEADERS)), work.read("layout", empty("buckets int")).head()[0]
+    body = spark.table(_payloads(spark, work, buckets)).select(F.col("payload").alias("digest"), "body").hint("merge")
     full = heads.filter("type = 'response'").join(body, F.col("payload") == F.col("digest"), "left")
     end = F.lit(CRLF + CRLF)
     full = full.select("rid", "page_id", "payload", "type", "refers_rid", F.concat("head", "body", end).alias("record"))
@@ -161,5 +188,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), work)
     rows = work.table("seen", read_back(records(spark, work)))
     first = rows.filter("record_type = 'response'").select(F.col("rid").alias("to_rid"), F.col("page_id").alias("to_page"), F.col("n").alias("to_n"))
-    out = rows.join(first, F.col("refers_rid") == F.col("to_rid"), "left")
+    out = rows.join(first.hint("merge"), F.col("refers_rid") == F.col("to_rid"), "left")
     return out.select("page_id", F.coalesce("n", "to_n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"))
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS o, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN o END AS refers_to
+FROM d
+"""

@@ -188,6 +188,27 @@ def test_warc(spark):
         warc.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")
 
 
+def test_warc_query_and_layout(spark, tmp_path):
+    """The query over repeats, nulls and an empty table, as by brute force; reading joins without moving payloads."""
+    rows = [(k, f"http://h/{k}", [None, "", "x", "é" * 900, f"own {k}"][k % 5]) for k in range(60)]
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        first: dict[bytes, int] = {}
+        for k, _, h in part:
+            first.setdefault((h or "").encode(), k)
+        want = set()
+        for k, _, h in part:
+            body = (h or "").encode()
+            to = first[body]
+            want.add((k, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to == k else "revisit", None if to == k else to))
+        got = [tuple(r) for r in warc.op5_warc(spark, f"{tmp_path}/{name}").collect()]
+        assert set(got) == want and len(got) == len(part)
+    work = Work(spark, "t")
+    warc.write_archive(spark.read.parquet(f"{tmp_path}/some/pages.parquet"), work)
+    plan = warc.records(spark, work)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SelectedBucketsCount" in plan
+
+
 # -- 6 --
 def test_lm_scoring(spark, docs, none):
     marked = docs.withColumn("target", docs.source.isNotNull())
