@@ -182,21 +182,23 @@ def search_shard(texts: pa.Array, phrases: np.ndarray, sizes: np.ndarray) -> tup
 SPANS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_column: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, cut: bool = False, null_items: bool = False) -> DataFrame:
     """The rows with n_words, n_hit (words inside any occurrence of a window), items (ids, as sorted strings, of
     items with an occurring window), and spans, the hit words' byte spans, merged where words adjoin. With cut,
     the text without its spans takes the text's place and spans are left out.
 
-    Null and empty texts have no words. Repeated rows get equal results; items with equal text are all named.
+    Null and empty texts have no words. Repeated rows get equal results; items with equal text are all named, and an
+    id that several items have is named once. Items with a null id are left out; with null_items their windows are
+    searched too, and only the list of ids lacks them.
     The benchmark is a test set, read by the driver: its size is bounded by what people write as tests and it
     is broadcast as word hashes. Each task indexes its texts in shards of SHARD_BYTES, equal texts of a shard
     once; nothing is shuffled.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect() if r[0] is not None]
-    phrases, sizes, pairs, _ = windows_of([t for _, t in items], [str(i) for i, _ in items], window)
+    items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect() if null_items or r[0] is not None]
+    phrases, sizes, pairs, _ = windows_of([t for _, t in items], [None if i is None else str(i) for i, _ in items], window)
     owner: dict[int, list[str]] = {}
     for at, item in pairs:
-        owner.setdefault(at, []).append(item)
+        owner.setdefault(at, []).extend([] if item is None else [item])
     shared = docs.sparkSession.sparkContext.broadcast((phrases, sizes, owner))
     mine = ["n_words", "n_hit", "items", "spans"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in mine]
@@ -256,7 +258,7 @@ def without(text: str | None, spans: list | None) -> str | None:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every document's hits."""
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_leaks(docs.select("doc_id", "text"), items, keep=["doc_id"])
+    found = find_leaks(docs.select("doc_id", "text"), items, keep=["doc_id"], null_items=True)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
