@@ -64,8 +64,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float =
     rows = rows.withColumn("mix_copies", few + rest).filter("mix_copies > 0")
     rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"), "mix_copies")
     rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), name, key, "mix_copy"))
-    # a hash range to each partition, sorted inside it: a global shuffle in files' order
-    return rows.repartitionByRange("mix_order").sortWithinPartitions("mix_order")
+    # a hash range to each partition, sorted inside it: a global shuffle in files' order. The hash is uniform, so ranges
+    # of equal width hold equal shares and nothing has to be sampled
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.shiftright((F.shiftright("mix_order", 32) + (1 << 31)) * parts, 32).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions("mix_order")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
