@@ -50,5 +50,3 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents in shards 0 to 7 by bytes."""
     return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), Work(spark, "sharding"))
 
-
-# DuckDB has no CRC-32, so the checksum is computed bit by bit in SQL only for the fixture of the tests.
