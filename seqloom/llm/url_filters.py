@@ -25,16 +25,16 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_column: str = "url", def
     """The pages with host, path, rule and verdict (existing columns of these names give way).
 
     rules: host, path, verdict. A rule fits its host and subdomains where the path starts with the rule's path.
-    The longest rule wins, then the one with the longer host, then block over allow. Each URL expands into its
-    host suffixes and, for every length that a rule's path has, its path prefix; the expressions meet the rules
-    on PREFIX digits of their digests, then by full digest. Null and odd URLs have an empty host and meet no
-    rule, so they get the default. Repeated rows stay repeated; null rule parts never fit.
+    The longest rule wins, then the one with the longer host, then block over allow. Each different URL expands into
+    its host suffixes and path prefixes, of as many labels and characters as rules have, so a long URL makes no more
+    of them than a short one; the expressions meet the rules on PREFIX digits of their digests, then by full digest.
+    Only URLs are shuffled for it, and what a rule fits is joined back. Null and odd URLs have an empty host and meet
+    no rule, so they get the default. Repeated rows stay repeated; null rule parts never fit. Empty tables of pages
+    give no rows, empty tables of rules the default.
     """
     out = ["host", "path", "rule", "verdict"]
     keep = [c for c in pages.columns if c not in out]
-    host, path = split_url(F.col(f"`{url_column}`"))
-    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), host.alias("host"), path.alias("path"))
-    base = base.withColumn("uid", F.monotonically_increasing_id())
+    url = F.col(f"`{url_column}`")
     listed = rules.filter("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(
         F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("digest"),
         F.struct(
@@ -43,22 +43,23 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_column: str = "url", def
         ).alias("rule"),
     )
     listed = listed.groupBy("digest").agg(F.max("rule").alias("hit")).withColumn("prefix", F.substring("digest", 1, PREFIX))
-    # distinct lengths of rules' paths: one row, no longer than the longest path
-    lengths = rules.agg(F.coalesce(F.sort_array(F.collect_set(F.length("path"))), F.array().cast("array<int>")).alias("lengths"))
-    labels = F.split("host", "\\.")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), i, F.size("labels")), "."))
-    )
+    # the different numbers of labels and lengths of paths that rules have: one row, no longer than the longest rule
+    some = lambda c: F.coalesce(F.sort_array(F.collect_set(c)), F.array().cast("array<int>"))
+    shapes = rules.agg(some(F.size(F.split("host", "\\."))).alias("counts"), some(F.length("path")).alias("lengths"))
+    each = pages.filter(F.locate("://", url) > 0).select(url.alias("url")).distinct()
+    host, path = split_url(F.col("url"))
+    base = each.select("url", host.alias("host"), path.alias("path")).crossJoin(F.broadcast(shapes))
+    labels = F.size(F.split("host", "\\."))
+    suffixes = F.transform(F.filter("counts", lambda n: (n <= labels) & (F.col("host") != "")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    expr = base.crossJoin(F.broadcast(lengths)).withColumn("labels", labels).withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
-    expr = expr.withColumn("expr", F.flatten(F.transform("suffixes", lambda s: F.transform("prefixes", lambda p: F.concat_ws("\n", s, p)))))
-    wide = expr.select("uid", "page", "host", "path", F.explode_outer("expr").alias("expr"))
-    wide = wide.withColumn("digest", F.sha2("expr", 256)).withColumn("short", F.substring("digest", 1, PREFIX)).drop("expr")
-    listed = small(listed.withColumnRenamed("digest", "full"))
-    met = wide.join(listed, F.col("short") == F.col("prefix"), "left")
-    hit = F.when(F.col("digest") == F.col("full"), F.col("hit"))
-    best = met.groupBy("uid").agg(F.first("page").alias("page"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(hit).alias("hit"))
-    return best.select(*[F.col("page").getField(c).alias(c) for c in keep], "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    exprs = base.withColumn("suffixes", suffixes).withColumn("prefixes", prefixes)
+    exprs = exprs.select("url", F.explode(F.flatten(F.transform("suffixes", lambda s: F.transform("prefixes", lambda p: F.concat_ws("\n", s, p))))).alias("expr"))
+    wide = exprs.select("url", F.sha2("expr", 256).alias("digest")).withColumn("short", F.substring("digest", 1, PREFIX))
+    met = wide.join(small(listed.withColumnRenamed("digest", "full")), F.col("short") == F.col("prefix")).filter(F.col("digest") == F.col("full"))
+    best = met.groupBy(F.col("url").alias("fit_url")).agg(F.max("hit").alias("fit_hit"))
+    host, path = split_url(url)
+    found = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), url.alias("fit_by")).join(best, F.col("fit_by") == F.col("fit_url"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.col("fit_hit.rule").alias("rule"), F.coalesce("fit_hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
