@@ -23,6 +23,8 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3)
 #: Labelled rows that the fit reads for each language: a bound that does not grow with the data.
 FIT_ROWS = 400
+#: Parts of a language in which rows are ranked first.
+SPREAD = 64
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-4
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -126,11 +128,21 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Fits on at most `rows` rows of each language, those whose ids hash lowest; the rest are not collected."""
-    ids = labelled.filter(F.col(f"`{lang_column}`").isNotNull() & F.col(f"`{text_column}`").isNotNull()).select(F.col(f"`{id_column}`").alias("fit_id"), F.col(f"`{lang_column}`").alias("fit_lang"))
-    w = Window.partitionBy("fit_lang").orderBy(F.xxhash64("fit_id"), "fit_id")
-    chosen = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= rows).select("fit_id").distinct()
-    texts = labelled.join(F.broadcast(chosen), F.col(f"`{id_column}`").eqNullSafe(F.col("fit_id")), "left_semi").select(F.col(f"`{lang_column}`").alias("lang"), F.col(f"`{text_column}`").alias("text"))
+    """Fits on at most `rows` different rows of each language, those whose hashes (of id and text) are lowest; the
+    rest are not collected. Repeated rows and ids, null ones too, count once, so the bound holds whatever the table.
+
+    The lowest hashes come from SPREAD parts of each language, and then from `rows` of each part, so no task ranks
+    all rows of a language.
+    """
+    lang, text = F.col(f"`{lang_column}`"), F.col(f"`{text_column}`")
+    known = labelled.filter(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(f"`{id_column}`"), text).alias("fit_row"))
+    ids = known.select(F.col("lang").alias("fit_lang"), F.col("fit_row").alias("fit_id"))
+    part = Window.partitionBy("fit_lang", F.pmod("fit_id", F.lit(SPREAD))).orderBy("fit_id")
+    few = ids.withColumn("k", F.row_number().over(part)).filter(F.col("k") <= rows).select("fit_lang", "fit_id").distinct()
+    whole = Window.partitionBy("fit_lang").orderBy("fit_id")
+    chosen = few.withColumn("k", F.row_number().over(whole)).filter(F.col("k") <= rows).drop("k")
+    # `rows` hashes for each language
+    texts = known.join(F.broadcast(chosen), (F.col("fit_row") == F.col("fit_id")) & (F.col("lang") == F.col("fit_lang")), "left_semi").dropDuplicates(["lang", "fit_row"]).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 1 << 20):
@@ -140,7 +152,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, id_column: str = "doc_id", te
                 i = [np.flatnonzero(r) for r in x]
                 yield pa.record_batch([part.column("lang"), pa.array([k.astype(np.uint16).tobytes() for k in i], pa.binary()), pa.array([r[k].tobytes() for r, k in zip(x, i)], pa.binary())], ["lang", "at", "x"])
 
-    got = texts.filter(F.col("lang").isNotNull()).mapInArrow(tidy(sparse), "lang string, at binary, x binary").orderBy("lang", F.xxhash64("at", "x")).collect()
+    got = texts.mapInArrow(tidy(sparse), "lang string, at binary, x binary").orderBy("lang", F.xxhash64("at", "x")).collect()
     x = np.zeros((len(got), BUCKETS), np.float32)
     for r, row in zip(got, x):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
@@ -149,7 +161,8 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, id_column: str = "doc_id", te
 
 def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """The rows with lang_pred and score (columns of these names give way). Only the text is looked at; `und`
-    with score 0 for null texts and texts without a letter. The model's size does not depend on the data."""
+    with score 0 for null texts and texts without a letter, and for all where nothing was learned. Repeated rows get
+    equal results; an empty table gives none. The model's size does not depend on the data."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
