@@ -30,7 +30,7 @@ def suffix_order(seq: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(take):
         key <<= bits
-        key[: n - k] |= seq[k:]
+        key[: max(0, n - k)] |= seq[k:]
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.empty(n, bool)
