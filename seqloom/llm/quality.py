@@ -40,7 +40,8 @@ def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, the first one included.
 
     Windows are compared by 40 bits of a hash packed with their position, sorted as plain longs; those that
-    meet are then compared as text, so the count is exact.
+    meet are then compared as text, so the count is exact. In a text of more words than a position has values, all
+    windows are compared as text.
     """
 
     def windows(w):
@@ -51,8 +52,11 @@ def repeated_words(words: Column) -> Column:
         same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), 24) == 0
         return F.filter(s, lambda x, i: ((i > 0) & same(x, F.get(s, i - 1))) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
 
-    def exact(w, near):
-        at = F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
+    def places(w):
+        few = F.transform(_let(windows(w), meet), lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))
+        return F.when(F.size(w) < 1 << 24, few).otherwise(F.sequence(F.lit(0), F.size(w) - 3))
+
+    def exact(w, at):
         text = F.sort_array(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
         hit = lambda t: F.filter(t, lambda x, i: ((i > 0) & x["t"].eqNullSafe(F.get(t, i - 1)["t"])) | x["t"].eqNullSafe(F.get(t, i + 1)["t"]))
         return F.sort_array(F.transform(_let(text, hit), lambda x: x["i"]))
@@ -61,39 +65,40 @@ def repeated_words(words: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    near = _let(windows(words), meet)
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(near, lambda n: F.when(F.size(n) == 0, F.lit(0).cast("long")).otherwise(_let(exact(words, n), covered))))
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(places(words), lambda n: F.when(F.size(n) == 0, F.lit(0).cast("long")).otherwise(_let(exact(words, n), covered))))
 
 
-def frequent_lines(docs: DataFrame, host: Column, text: Column, least: int, long_least: int) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: Column, text: Column, least: int, long_least: int, copies: bool = False) -> DataFrame:
     """host, body, size and boilerplate, the keys of boilerplate lines, for each different text that holds any.
 
-    Counts meet as (host, line) after a sum in each task; no list of a host's lines is ever made.
+    Counts meet as (host, line) after a sum in each task; no list of a host's lines is ever made. A text that a host
+    holds several times counts once, or with copies as often as it occurs.
     """
     work = Work(docs.sparkSession, "quality")
     keys = F.array_distinct(F.filter(F.transform(lines_of(text), line_key), lambda k: k.isNotNull()))
     rows = docs.select(host.alias("host"), F.xxhash64(text).alias("body"), F.length(text).alias("size"), keys.alias("keys")).filter(text.isNotNull())
-    once = rows.groupBy("host", "body", "size").agg(F.first("keys").alias("keys"))  # copies of a text count once
-    lines = work.table("once", once).select("host", "body", "size", F.explode("keys").alias("line"))
-    held = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
+    once = rows.groupBy("host", "body", "size").agg(F.first("keys").alias("keys"), (F.count("*") if copies else F.lit(1)).alias("rows"))
+    lines = work.table("once", once).select("host", "body", "size", "rows", F.explode("keys").alias("line"))
+    held = lines.groupBy("host", "line").agg(F.sum("rows").alias("n"))
     limit = F.when(F.col("line").bitwiseAND(F.lit(1)) == 1, F.lit(long_least)).otherwise(F.lit(least))
     bad = work.table("bad", held.filter(F.col("n") >= limit).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line")))
     met = lines.join(small(bad, 200_000), (F.col("line") == F.col("bad_line")) & F.col("host").eqNullSafe(F.col("bad_host")))
     return work.table("texts", met.groupBy("host", "body", "size").agg(F.collect_list("line").alias("boilerplate")))
 
 
-def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", least: int = LINE_LEAST, long_least: int | None = None, depleted: float = DEPLETED) -> DataFrame:
+def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", least: int = LINE_LEAST, long_least: int | None = None, depleted: float = DEPLETED, copies: bool = False) -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left, kept
     and text_left, the text without its boilerplate lines (columns of these names give way).
 
-    Null and empty texts have no words and fail the base rules. Every row is judged by itself, so repeats are
-    judged alike; a null host is a host.
+    Null and empty texts have no words and fail the base rules. Repeats are judged alike; a null host is a host; an
+    empty table gives none. The documents that count for a line are a host's different texts, so that copies of one
+    clean text do not make boilerplate of all its lines; with copies every row counts.
     """
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_left", "kept", "text_left"]
     keep = [c for c in docs.columns if c not in mine]
     text, host = F.coalesce(F.col(f"`{text_column}`"), F.lit("")), F.col(f"`{host_column}`")
     long_least = min(least, LONG_LEAST) if long_least is None else long_least
-    bad = frequent_lines(docs, host, F.col(f"`{text_column}`"), least, long_least).toDF("qr_host", "qr_body", "qr_size", "boilerplate")
+    bad = frequent_lines(docs, host, F.col(f"`{text_column}`"), least, long_least, copies).toDF("qr_host", "qr_body", "qr_size", "boilerplate")
     same = (F.xxhash64(F.col(f"`{text_column}`")) == F.col("qr_body")) & (F.length(F.col(f"`{text_column}`")) == F.col("qr_size")) & host.eqNullSafe(F.col("qr_host"))
     rows = docs.select(*keep).join(small(bad, 200_000), same, "left")
     rows = rows.withColumn("qr_bad", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
