@@ -6,6 +6,8 @@ negation (not_, ne, not_in, falsy) first turns null into false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,3 +115,16 @@ def or_(*parts: Column) -> Column:
 
 def not_(part: Column) -> Column:
     return ~_sure(part)
+
+
+# -- selectors for Select ------------------------------------------------------------------------------------
+def pluck(path: str) -> Callable:
+    return lambda row: row[path]
+
+
+def select_keys(*names: str) -> Callable:
+    return lambda row: {n: row[n] for n in names}
+
+
+def omit_keys(*names: str) -> Callable:
+    return lambda row: {n: row[n] for n in row._schema.names if n not in names}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.plans.exprs import Py, RowProxy, arity, resolve
-from seqloom.plans.order import HIDDEN, ORD, Key, first_seen, fresh, orderable, with_ordinal
+from seqloom.plans.order import HIDDEN, ORD, Key, fresh, orderable, packed, with_ordinal
 
 
 class Base:
@@ -16,6 +16,7 @@ class Base:
     def __init__(self, df: DataFrame, keys: list[Key] = (), log: tuple = (), chain: int = 0):
         self._df, self._keys, self._log, self._chain = df, list(keys), tuple(log), chain
         self._contiguous = False  # ORD is present and has no gaps
+        self._skipped = None  # the sequence and the count of the Skip that gave this one
 
     @classmethod
     def of(cls, df: DataFrame, order_by: list | None = None):
@@ -63,6 +64,10 @@ class Base:
 
         return Seq(df, self._keys if keys is None else keys, (*self._log, (kind, detail)), chain)
 
+    def _logged(self, log: tuple):
+        self._log = tuple(log)
+        return self
+
     def _ordinal(self):
         """The same sequence with ORD in its frame and as its only key."""
         if self._contiguous:
@@ -75,12 +80,22 @@ class Base:
         out._contiguous = True
         return out
 
+    def _packed(self):
+        """A sequence, and its order as one struct that is ascending or (False) descending."""
+        if (c := packed(self._keys)) is not None:
+            return self, *c
+        return self._ordinal(), F.struct(F.col(ORD).alias("f0")), True
+
     def _first_seen(self):
-        """A sequence and the aggregate that gives a group's first position in it."""
-        if (c := first_seen(self._keys)) is not None:
-            return self, c
-        s = self._ordinal()
-        return s, F.min(ORD)
+        """A sequence, the aggregate that gives a group's first position in it, and that position as a key."""
+        s, c, up = self._packed()
+        at = fresh("g")
+        return s, (F.min(c) if up else F.max(c)).alias(at), Key(at, up)
+
+    def _in_order(self, value: Column) -> tuple:
+        """A sequence and the aggregate that gives a group's values as an array in its order."""
+        s, c, up = self._packed()
+        return s, F.transform(F.sort_array(F.collect_list(F.struct(c.alias("o"), value.alias("v"))), up), lambda x: x["v"])
 
     # -- selectors -----------------------------------------------------------------------------------------
     def _proxy(self) -> RowProxy:

@@ -12,6 +12,10 @@ from seqloom.plans.exprs import Py, check_path, resolve
 from seqloom.plans.order import HIDDEN, ORD, Key, fresh, running
 
 
+#: Positions up to here are reached by taking the first of each task.
+NEAR = 100_000
+
+
 def _count(n: int, least: int = 0) -> int:
     if n < least:
         raise ValueError(f"count must be at least {least}, not {n}")
@@ -154,26 +158,44 @@ class Lazy(Base):
 
     def Tap(self, action):
         """Runs an action on each item as it passes. It runs on executors and again when a task is retried."""
-        schema, item = self._df.schema, self.columns
+        item = self.columns
 
         def act(batches):
             for b in batches:
-                for row in b[item].to_dict("records"):
+                for row in b.select(item).to_pylist():
                     action(row)
                 yield b
 
-        return self._with(self._df.mapInPandas(act, schema), "tap")
+        return self._with(self._df.mapInArrow(act, self._df.schema), "tap")
 
     def AsEnumerable(self):
         return self._with(self._df, "asEnumerable")
 
     # -- position --------------------------------------------------------------------------------------------
     def Take(self, count: int):
-        df = self._sorted().limit(_count(count))
-        return self._with(df, "take", detail=count)
+        _count(count)
+        if self._skipped is not None:  # Skip and Take together are a range of positions
+            base, start = self._skipped
+            s, df = base._range(start, count)
+            return s._with(df, "take", detail=count)._logged((*self._log, ("take", count)))
+        return self._with(self._sorted().limit(count), "take", detail=count)
 
     def Skip(self, count: int):
-        return self._with(self._sorted().offset(_count(count)), "skip", detail=count)
+        """All items but the first ones, by position: no task gets them all."""
+        if _count(count) == 0:
+            return self._with(self._df, "skip", detail=count)
+        s = self._ordinal()
+        out = s._with(s._df.filter(F.col(ORD) >= count), "skip", detail=count)
+        out._skipped = (self, count)
+        return out
+
+    def _range(self, start: int, count: int):
+        """Items from a position on, and the sequence whose keys they have: the best of all near the start, by ordinal
+        further on, where a task's best would be too many."""
+        if start + count <= NEAR:
+            return self, self._sorted().offset(start).limit(count)
+        s = self._ordinal()
+        return s, s._df.filter((F.col(ORD) >= start) & (F.col(ORD) < start + count))
 
     def Page(self, page: int, size: int):
         return self.Skip((max(1, page) - 1) * size).Take(size)
@@ -281,35 +303,38 @@ class Lazy(Base):
         return s._with(whole.select(F.posexplode(steps).alias(ORD, "value")), "scan", [Key(ORD)])
 
     # -- order -----------------------------------------------------------------------------------------------
-    def _order(self, key, desc, nulls, locale, kind):
+    def _order(self, key, desc, nulls, locale, comparer):
         s = self._ordinal() if self._needs_ordinal(key) else self
         c = s._col(key)
         if locale:
             c = F.collate(c, locale)
+        if comparer:
+            c = comparer(c)
         name = fresh()
         new = Key(name, not desc, nulls == "first")
         at = s._chain
         keys = [*s._keys[:at], new, *s._keys[at:]]
-        return s._with(s._df.withColumn(name, c), kind, keys, detail=f"{'desc' if desc else 'asc'}", chain=at + 1)
+        return s._with(s._df.withColumn(name, c), "orderBy", keys, detail=f"{'desc' if desc else 'asc'}", chain=at + 1)
 
-    def OrderBy(self, key, descending=False, nulls="last", locale=None):
-        """Stable. Nulls come last unless asked for first. Right after another OrderBy it breaks ties."""
-        return self._order(key, descending, nulls, locale, "orderBy")
+    def OrderBy(self, key, descending=False, nulls="last", locale=None, comparer=None):
+        """Stable. Nulls come last unless asked for first. Right after another OrderBy it breaks ties. A comparer is
+        given as a function from the key to what its order goes by."""
+        return self._order(key, descending, nulls, locale, comparer)
 
-    def OrderByDescending(self, key, nulls="last", locale=None):
-        return self._order(key, True, nulls, locale, "orderBy")
+    def OrderByDescending(self, key, nulls="last", locale=None, comparer=None):
+        return self._order(key, True, nulls, locale, comparer)
 
-    def ThenBy(self, key, descending=False, nulls="last", locale=None):
-        return self._order(key, descending, nulls, locale, "orderBy")
+    def ThenBy(self, key, descending=False, nulls="last", locale=None, comparer=None):
+        return self._order(key, descending, nulls, locale, comparer)
 
-    def ThenByDescending(self, key, nulls="last", locale=None):
-        return self._order(key, True, nulls, locale, "orderBy")
+    def ThenByDescending(self, key, nulls="last", locale=None, comparer=None):
+        return self._order(key, True, nulls, locale, comparer)
 
-    def Order(self, descending=False, nulls="last", locale=None):
-        return self._order(None, descending, nulls, locale, "orderBy")
+    def Order(self, descending=False, nulls="last", locale=None, comparer=None):
+        return self._order(None, descending, nulls, locale, comparer)
 
-    def OrderDescending(self, nulls="last", locale=None):
-        return self._order(None, True, nulls, locale, "orderBy")
+    def OrderDescending(self, nulls="last", locale=None, comparer=None):
+        return self._order(None, True, nulls, locale, comparer)
 
     def Reverse(self):
         return self._with(self._df, "reverse", [k.flipped() for k in self._keys])

@@ -5,13 +5,11 @@ from __future__ import annotations
 import asyncio
 import re
 import uuid
-
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
 from seqloom.operators.combine import Combine
 from seqloom.operators.lazy import Lazy
 from seqloom.operators.terminals import Terminals
-from seqloom.plans.order import ORD, Key, fresh
 
 
 def _snake(name: str) -> str:
@@ -33,19 +31,31 @@ for _name in [n for n in dir(Seq) if re.match(r"[A-Z]", n)]:
         setattr(Seq, _snake(_name), getattr(Seq, _name))
 
 
+def register(name: str, func: Callable, replace: bool = False) -> None:
+    """Adds an operator to all sequences: func(seq, ...), under the PascalCase name and its snake_case form. What gives
+    a Seq is lazy; what gives anything else is a terminal, with an Async form on AsyncSeq."""
+    if not re.fullmatch(r"[A-Z][A-Za-z0-9]*", name):
+        raise ValueError(f"an operator's name is in PascalCase, not {name!r}")
+    for n in (name, _snake(name)):
+        if hasattr(Seq, n) and not replace:
+            raise ValueError(f"there is an operator {n} already")
+    for n in (name, _snake(name)):
+        setattr(Seq, n, func)
+
+
 class GroupedSeq(Seq):
     """What GroupBy gives. The groups' arrays are planned only when they are read, so Agg() never builds them."""
 
     def __init__(self, source: Seq, key, element):
         self._source, self._key, self._element, self._built = source, key, element, None
-        self._log, self._chain, self._contiguous = (*source._log, ("groupBy", None)), 0, False
+        self._log, self._chain, self._contiguous, self._skipped = (*source._log, ("groupBy", None)), 0, False, None
 
     def _build(self):
         if self._built is None:
-            s, at = self._source._ordinal(), fresh("g")
-            item = F.struct(F.col(ORD).alias("o"), s._col(self._element).alias("v"))
-            df = s._df.groupBy(s._col(self._key).alias("key")).agg(F.min(ORD).alias(at), F.sort_array(F.collect_list(item)).alias("e"))
-            self._built = df.select("key", F.transform("e", lambda x: x["v"]).alias("elements"), at), [Key(at)]
+            s, seen, at = self._source._first_seen()
+            s, items = s._in_order(s._col(self._element))
+            df = s._df.groupBy(s._col(self._key).alias("key")).agg(seen, items.alias("elements"))
+            self._built = df.select("key", "elements", at.name), [at]
         return self._built
 
     @property

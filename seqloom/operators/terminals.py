@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from seqloom.functions.errors import ArgumentOutOfRangeError, EmptySequenceError
 from seqloom.functions.pagination import CursorPage, clamp_page_size, create_page_result, parse_cursor
 from seqloom.operators.base import Base
 from seqloom.plans.exprs import arity
-from seqloom.plans.order import ORD
+from seqloom.plans.order import ORD, Key, small_plan, with_ordinal
 
 _NOTHING = object()
 
@@ -55,9 +57,14 @@ class Terminals(Base):
         return (_value(r) for r in self.ordered_df().toLocalIterator(prefetchPartitions=True))
 
     def ForEach(self, action, concurrency: int = 1) -> None:
-        """In order on the driver, one row at a time; or in parallel on the executors with a concurrency."""
+        """In order on the driver, one row at a time; or with a concurrency in as many tasks at most on the executors."""
         if concurrency > 1:
-            self.df.repartition(concurrency).foreachPartition(lambda rows: [action(_value(r)) for r in rows] and None)
+
+            def act(rows):
+                for r in rows:
+                    action(_value(r))
+
+            self.df.coalesce(concurrency).foreachPartition(act)
             return
         indexed = arity(action) > 1
         for n, item in enumerate(self):
@@ -99,11 +106,11 @@ class Terminals(Base):
     def _one(df: DataFrame, default=_NOTHING, most: bool = False):
         rows = df.collect()
         if most and len(rows) > 1:
-            raise MoreThanOneElementError("Sequence contains more than one element")
+            raise MoreThanOneElementError("expected one element, found more")
         if rows:
             return _value(rows[0])
         if default is _NOTHING:
-            raise EmptySequenceError("Sequence contains no elements")
+            raise EmptySequenceError("expected an element, found none")
         return default
 
     def First(self, predicate=None):
@@ -187,14 +194,26 @@ class Terminals(Base):
         return self._filtered(predicate)._df.agg(F.count("*").alias("value"))
 
     def _exact(self, c: Column) -> Column:
-        """A sum without rounding drift: doubles are added as decimals. Nulls count as 0."""
+        """A sum without rounding drift; nulls count as 0.
+
+        Each double goes one way: with up to 4 decimals as a whole number of units, with up to 12 as a decimal, both
+        added exactly, and as itself where neither gives it back (very small, very large, NaN). Where an exact sum
+        runs over, the plain one stands in.
+        """
         kind = self._df.select(c.alias("c")).schema["c"].dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            # beyond a decimal's range, or NaN or infinite, the plain sum stands in
-            fits = F.coalesce(F.abs(c) < F.lit(1e18), F.lit(True))
-            exact = F.sum(F.when(fits, c).cast("decimal(38,12)")).cast("double")
-            return F.when(F.coalesce(F.bool_and(fits), F.lit(True)), F.coalesce(exact, F.lit(0.0))).otherwise(F.sum(c))
-        return F.coalesce(F.sum(c), F.lit(0))
+        if not isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.coalesce(F.sum(c), F.lit(0))
+        c = c.cast("double")
+        yes = lambda x: F.coalesce(x, F.lit(False))
+        units = F.when(F.abs(c) < 9e11, F.rint(c * 10000.0).cast("long"))
+        fine = yes(units / F.lit(10000.0) == c)
+        exact = F.when(~fine & (F.abs(c) < 1e18), c.cast("decimal(38,12)"))
+        near = yes(exact.cast("double") == c)
+        a, b = F.try_sum(F.when(fine, units)), F.try_sum(F.when(near, exact))
+        over = (a.isNull() & (F.count_if(fine) > 0)) | (b.isNull() & (F.count_if(near) > 0))
+        whole = (a.cast("decimal(20,0)") * F.lit(Decimal("0.0001"))).cast("double")
+        parts = [F.coalesce(x, F.lit(0.0)) for x in (whole, b.cast("double"), F.sum(F.when(~fine & ~near, c)))]
+        return F.when(over, F.sum(c)).otherwise(parts[0] + parts[1] + parts[2])
 
     def sum_df(self, selector=None) -> DataFrame:
         return self._df.agg(self._exact(self._col(selector)).alias("value"))
@@ -215,12 +234,20 @@ class Terminals(Base):
         if not 0 <= p <= 100:
             raise ArgumentOutOfRangeError("percentile must lie between 0 and 100")
         c = self._col(selector)
-        return self._df.agg(F.percentile(F.coalesce(c, F.lit(0)) if null_as_zero else c, p / 100).alias("value"))
+        values = self._df.select((F.coalesce(c, F.lit(0)) if null_as_zero else c).cast("double").alias("value"))
+        if small_plan(values):
+            return values.agg(F.percentile("value", p / 100).alias("value"))
+        # by rank: no task holds all values
+        ranked = with_ordinal(values.filter("value IS NOT NULL"), [Key("value")])
+        at = ranked.agg(((F.count("*") - 1) * (p / 100)).alias("at"))
+        beside = ranked.crossJoin(F.broadcast(at)).filter(F.col(ORD).between(F.floor("at"), F.ceil("at")))
+        share = F.max(F.col("at") - F.floor("at"))
+        return beside.agg((F.min("value") * (1 - share) + F.max("value") * share).alias("value"))
 
     def mode_df(self, key=None) -> DataFrame:
-        s, seen = self._first_seen()
-        df = s._df.groupBy(s._col(key).alias("value")).agg(F.count("*").alias("n"), seen.alias("o"))
-        return df.orderBy(F.desc("n"), "o").limit(1).select("value")
+        s, seen, at = self._first_seen()
+        df = s._df.groupBy(s._col(key).alias("value")).agg(F.count("*").alias("n"), seen)
+        return df.orderBy(F.desc("n"), at.column()).limit(1).select("value")
 
     def Count(self, predicate=None) -> int:
         return self.count_df(predicate).head()[0]
@@ -234,7 +261,7 @@ class Terminals(Base):
     def _number(self, df: DataFrame):
         value = df.head()[0]
         if value is None and not self.Any():
-            raise EmptySequenceError("Sequence contains no elements")
+            raise EmptySequenceError("expected an element, found none")
         return value
 
     def Min(self, selector=None):
@@ -255,7 +282,7 @@ class Terminals(Base):
     def Mode(self, key=None):
         rows = self.mode_df(key).collect()
         if not rows:
-            raise EmptySequenceError("Sequence contains no elements")
+            raise EmptySequenceError("expected an element, found none")
         return rows[0][0]
 
     # -- folds -----------------------------------------------------------------------------------------------
@@ -281,13 +308,14 @@ class Terminals(Base):
         return acc
 
     def Reduce(self, *args, of=None):
-        """Reduce(func) starts from the first item; Reduce(seed, func) from the seed."""
+        """Reduce(func) starts from the first item; Reduce(seed, func) from the seed. As in Aggregate, a named func runs
+        in parallel and a Python function on the driver over the ordered rows."""
         if len(args) == 2:
             return self.Aggregate(args[0], args[1], of)
         items = iter(self if of is None else self.Select(of))
         acc = next(items, _NOTHING)
         if acc is _NOTHING:
-            raise EmptySequenceError("Reduce of empty sequence with no initial value")
+            raise EmptySequenceError("nothing to reduce, and no seed")
         func, indexed = args[0], arity(args[0]) > 2
         for n, item in enumerate(items, 1):
             acc = func(acc, item, n) if indexed else func(acc, item)

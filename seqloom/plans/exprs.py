@@ -82,7 +82,7 @@ class Py:
                     return None
                 raise
 
-        return F.udf(call, self.returns)(item)
+        return F.udf(call, self.returns, useArrow=True)(item)  # rows come in Arrow batches
 
 
 def py(func: Callable, returns: T.DataType | str) -> Py:

@@ -61,8 +61,9 @@ def orderable(kind: T.DataType) -> bool:
     return True
 
 
-def first_seen(keys: list[Key]) -> Column | None:
-    """An aggregate giving a group's first position as one struct, or None where directions are mixed."""
+def packed(keys: list[Key]) -> tuple[Column, bool] | None:
+    """The keys as one struct that compares as they do, ascending or (False) descending; None where directions are
+    mixed or there are no keys."""
     if not keys or len({k.asc for k in keys}) > 1:
         return None
     up = keys[0].asc
@@ -71,8 +72,7 @@ def first_seen(keys: list[Key]) -> Column | None:
         # a struct compares field by field with nulls smallest, so null placement is a field of its own
         late = F.col(k.name).isNull() if up != k.nulls_first else F.col(k.name).isNotNull()
         parts += [late, F.col(k.name)]
-    packed = F.struct(*[p.alias(f"f{i}") for i, p in enumerate(parts)])
-    return F.min(packed) if up else F.max(packed)
+    return F.struct(*[p.alias(f"f{i}") for i, p in enumerate(parts)]), up
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -87,7 +87,7 @@ def with_ordinal(df: DataFrame, keys: list[Key], one_task_bytes: int | None = No
     its partition's offset plus its place in the partition; only the per-partition counts meet in one task.
     """
     order = [k.column() for k in keys] or [F.monotonically_increasing_id()]
-    if _small(df, ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes):
+    if small_plan(df, one_task_bytes):
         return df.withColumn(ORD, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     at, pid, offset = fresh("m"), fresh("p"), fresh("s")
     fixed = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
@@ -99,9 +99,10 @@ def with_ordinal(df: DataFrame, keys: list[Key], one_task_bytes: int | None = No
     return fixed.join(F.broadcast(totals), pid).withColumn(ORD, F.col(offset) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, pid, offset)
 
 
-def _small(df: DataFrame, most: int) -> bool:
+def small_plan(df: DataFrame, most: int | None = None) -> bool:
     """Whether one task may sort the frame: by Catalyst's estimate, and where the plan makes rows that the estimate
     does not see (exploded arrays, Python functions), by a count that stops at as many rows."""
+    most = ONE_TASK_BYTES if most is None else most
     if estimated_bytes(df) > most:
         return False
     if not re.search(r"\b(Generate|MapIn\w+|FlatMap\w+) ", df._jdf.queryExecution().optimizedPlan().toString()):

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.filters import parse_query_string, predicate_from_parsed_query
+from seqloom.functions.filters import build_predicate, parse_filter_json, parse_query_string, predicate_from_parsed_query
 from seqloom.operators.seq import Seq
 from seqloom.plans.exprs import py
 from seqloom.plans.order import ORD
-from seqloom.sources.read import range_, repeat
+from seqloom.sources.read import empty, range_, repeat
 from seqloom.streaming.stream import StreamSeq
 
 #: A total order of each table.
@@ -76,6 +76,7 @@ add("where_index", lambda t: t("orders").Where(lambda r, i: i % 10 == 3).SelectK
 add("select", lambda t: t("orders").Select(lambda r: {"o_orderkey": r.o_orderkey, "half": F.round(r.o_totalprice / 2, 3)}).df, "SELECT o_orderkey, round(o_totalprice / 2, 3) half FROM orders")
 add("select_many", lambda t: t("embeddings").Select(lambda r: r.embedding).WithIndex().SelectMany(lambda r: F.transform(r["value"], lambda x: F.struct(r.index.alias("vec_id"), x.cast("double").alias("x")))).Select(lambda r: {"vec_id": r["value.vec_id"], "x": r["value.x"]}).df, "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings")
 add("flatten", lambda t: numbered(t("embeddings").Select(lambda r: F.slice(r.embedding, 1, 3)).Flatten().Select(lambda r: r["value"].cast("double")), "value"), "SELECT CAST(embedding[p] AS DOUBLE) AS value, row_number() OVER (ORDER BY vec_id, p) - 1 AS ord FROM embeddings, (SELECT unnest([1, 2, 3]) p)")
+add("flatten_whole", lambda t: numbered(t("embeddings").Select(lambda r: r.embedding).Flatten().Select(lambda r: r["value"].cast("double")), "value"), "SELECT CAST(x AS DOUBLE) AS value, row_number() OVER (ORDER BY vec_id, p) - 1 AS ord FROM (SELECT vec_id, unnest(embedding) x, generate_subscripts(embedding, 1) p FROM embeddings)")
 add("of_type", lambda t: t("customer").Select(lambda r: F.when(r.c_acctbal > 0, F.struct(r.c_custkey.alias("k"), r.c_acctbal.alias("b")))).OfType().Select(lambda r: {"k": r["value.k"], "b": r["value.b"]}).df, "SELECT c_custkey k, c_acctbal b FROM customer WHERE c_acctbal > 0")
 add("cast", lambda t: t("customer").SelectKeys("c_custkey", "c_acctbal").Cast({"c_acctbal": "decimal(18,1)"}).Cast({"c_acctbal": "double"}).df, "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(18,1)) AS DOUBLE) c_acctbal FROM customer")
 add("take", lambda t: keep(t("orders").OrderByDescending("o_totalprice").Take(25)), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
@@ -134,6 +135,7 @@ add("then_by", lambda t: numbered(t("part").OrderByDescending("p_brand").ThenBy(
 add("then_by_descending", lambda t: numbered(t("part").OrderBy("p_brand").ThenByDescending("p_size"), "p_partkey"), P3.format("p_brand, p_size DESC, p_partkey"))
 add("order", lambda t: numbered(t("part").Select(lambda r: r.p_partkey * -1).Order(), "value"), 'SELECT -p_partkey AS "value", row_number() OVER (ORDER BY -p_partkey) - 1 AS ord FROM part')
 add("order_descending", lambda t: numbered(t("part").Select(lambda r: r.p_partkey).OrderDescending(), "value"), 'SELECT p_partkey AS "value", row_number() OVER (ORDER BY p_partkey DESC) - 1 AS ord FROM part')
+add("order_by_comparer", lambda t: numbered(t("nation").OrderBy("n_name", comparer=lambda c: F.substring(c, 2, 1)), "n_nationkey"), "SELECT n_nationkey, row_number() OVER (ORDER BY substr(n_name, 2, 1), n_nationkey) - 1 AS ord FROM nation")
 add("reverse", lambda t: numbered(t("nation").OrderBy("n_regionkey").Reverse(), "n_nationkey"), "SELECT n_nationkey, row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey DESC) - 1 AS ord FROM nation")
 
 # -- distinct, grouping -------------------------------------------------------------------------------------
@@ -144,8 +146,10 @@ add("group_by", lambda t: numbered(t("events").GroupBy("event_type", "event_id")
 add("group_by_agg", lambda t: numbered(t("lineitem").GroupBy("l_suppkey").Agg(qty=F.sum(money("l_quantity")).cast("double")), "key", "qty"), f"SELECT l_suppkey AS key, CAST(sum({dec('l_quantity')}) AS DOUBLE) qty, row_number() OVER (ORDER BY min(struct_pack({', '.join(f'{c} := {c}' for c in LINE.split(', '))}))) - 1 AS ord FROM lineitem GROUP BY 1")
 add("group_by_many", lambda t: t("orders").GroupByMany("o_orderstatus", "o_orderpriority").Agg(n=F.count("*")).Select(lambda r: {"s": r["key.o_orderstatus"], "p": r["key.o_orderpriority"], "n": r.n}).df, "SELECT o_orderstatus s, o_orderpriority p, count(*) n FROM orders GROUP BY 1, 2")
 add("aggregate_by", lambda t: numbered(t("events").AggregateBy("user_id", 0, lambda a, x: a + x["event_id"].cast("int")), "key", "value"), 'SELECT user_id AS key, CAST(sum(event_id) AS INTEGER) AS "value", row_number() OVER (ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY 1')
+add("aggregate_by_comparer", lambda t: numbered(t("events").AggregateBy("user_id", 0, lambda a, x: a + x["event_id"].cast("int"), comparer=lambda k: k % 10), "key", "value"), 'SELECT arg_min(user_id, event_id) AS key, CAST(sum(event_id) AS INTEGER) AS "value", row_number() OVER (ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY user_id % 10')
+add("group_by_descending", lambda t: numbered(t("events").OrderByDescending("event_id").GroupBy("event_type", "event_id").Select(lambda r: {"key": r.key, "all": F.sha2(F.concat_ws(",", r.elements.cast("array<string>")), 256)}), "key", "all"), "SELECT event_type AS key, sha256(string_agg(event_id, ',' ORDER BY event_id DESC)) AS all, row_number() OVER (ORDER BY max(event_id) DESC) - 1 AS ord FROM events GROUP BY 1")
 add("count_by", lambda t: t("events").count_by_df(lambda r: F.nullif(r.event_type, F.lit("click"))), "SELECT nullif(event_type, 'click') AS key, count(*) AS count FROM events GROUP BY 1")
-add("to_lookup", lambda t: t("nation").GroupBy("n_regionkey", "n_name").Select(lambda r: {"key": r.key, "names": F.concat_ws("|", r.elements)}).df, "SELECT n_regionkey AS key, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+add("to_lookup", lambda t: (lambda s: s.spark.createDataFrame([(k, "|".join(v)) for k, v in s.ToLookup("n_regionkey", "n_name")], "key int, names string"))(t("nation")), "SELECT n_regionkey AS key, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 add("mode", lambda t: t("events").mode_df("event_type"), 'SELECT event_type AS "value" FROM events GROUP BY 1 ORDER BY count(*) DESC, min(event_id) LIMIT 1')
 
 # -- joins --------------------------------------------------------------------------------------------------
@@ -154,8 +158,13 @@ rich = lambda t: t("customer").Where(lambda r: r.c_acctbal > 5000)
 pair = lambda o, i: {"ok": o.o_orderkey, "ck": i.c_custkey}
 both = lambda o, i: {"ck": o.c_custkey, "sk": i.s_suppkey}
 add("join", lambda t: numbered(t("orders").Join(rich(t), "o_custkey", "c_custkey", pair), "ok", "ck"), f"SELECT o_orderkey ok, c_custkey ck, row_number() OVER (ORDER BY o_orderkey, c_custkey) - 1 AS ord FROM orders JOIN {RICH} ON o_custkey = c_custkey")
+add("join_whole", lambda t: numbered(t("orders").Join(t("customer"), "o_custkey", "c_custkey", pair), "ok", "ck"), "SELECT o_orderkey ok, c_custkey ck, row_number() OVER (ORDER BY o_orderkey, c_custkey) - 1 AS ord FROM orders JOIN customer ON o_custkey = c_custkey")
 add("join_null_keys", lambda t: t("nation").Join(t("region"), lambda r: F.nullif(r.n_regionkey, F.lit(2)), lambda r: F.nullif(r.r_regionkey, F.lit(3)), lambda o, i: {"n": o.n_nationkey, "r": i.r_regionkey}).df, "SELECT n_nationkey n, r_regionkey r FROM nation JOIN region ON nullif(n_regionkey, 2) IS NOT DISTINCT FROM nullif(r_regionkey, 3)")
 add("join_comparer", lambda t: t("nation").Join(t("region"), "n_regionkey", "r_regionkey", lambda o, i: {"n": o.n_nationkey, "r": i.r_regionkey}, on=lambda a, b: a < b).df, "SELECT n_nationkey n, r_regionkey r FROM nation JOIN region ON n_regionkey < r_regionkey")
+add("left_join_comparer", lambda t: t("nation").LeftJoin(t("region"), "n_regionkey", "r_regionkey", lambda o, i: {"n": o.n_nationkey, "r": i.r_regionkey}, on=lambda a, b: a < b).df, "SELECT n_nationkey n, r_regionkey r FROM nation LEFT JOIN region ON n_regionkey < r_regionkey")
+add("right_join_comparer", lambda t: t("nation").RightJoin(t("region"), "n_regionkey", "r_regionkey", lambda o, i: {"n": o.n_nationkey, "r": i.r_regionkey}, on=lambda a, b: a < b).df, "SELECT n_nationkey n, r_regionkey r FROM nation RIGHT JOIN region ON n_regionkey < r_regionkey")
+add("full_join_comparer", lambda t: t("nation").FullJoin(t("region"), "n_regionkey", "r_regionkey", lambda o, i: {"n": o.n_nationkey, "r": i.r_regionkey}, on=lambda a, b: a < b).df, "SELECT n_nationkey n, r_regionkey r FROM nation FULL JOIN region ON n_regionkey < r_regionkey")
+add("group_join_comparer", lambda t: t("region").GroupJoin(t("nation"), "r_regionkey", "n_regionkey", lambda o, g: {"k": o.r_regionkey, "names": F.concat_ws(",", F.transform(g, lambda x: x["n_name"]))}, on=lambda a, b: a < b).df, "SELECT r_regionkey k, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS names FROM region LEFT JOIN nation ON r_regionkey < n_regionkey GROUP BY 1")
 add("left_join", lambda t: t("orders").LeftJoin(rich(t), "o_custkey", "c_custkey", lambda o, i: {"ok": o.o_orderkey, "ck": i.c_custkey, "found": i.is_present()}).df, f"SELECT o_orderkey ok, c_custkey ck, c_custkey IS NOT NULL found FROM orders LEFT JOIN {RICH} ON o_custkey = c_custkey")
 add("right_join", lambda t: numbered(t("orders").Where(lambda r: r.o_orderstatus == "P").RightJoin(rich(t), "o_custkey", "c_custkey", pair), "ok", "ck"), f"SELECT o_orderkey ok, c_custkey ck, row_number() OVER (ORDER BY c_custkey, o_orderkey NULLS LAST) - 1 AS ord FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') RIGHT JOIN {RICH} ON o_custkey = c_custkey")
 add("full_join", lambda t: numbered(rich(t).Where(lambda r: r.c_nationkey < 12).FullJoin(t("supplier").Where(lambda r: r.s_nationkey > 9), "c_nationkey", "s_nationkey", both), "ck", "sk"), f"SELECT c_custkey ck, s_suppkey sk, row_number() OVER (ORDER BY c_custkey NULLS LAST, s_suppkey NULLS LAST) - 1 AS ord FROM (SELECT * FROM {RICH} WHERE c_nationkey < 12) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey > 9) ON c_nationkey = s_nationkey")
@@ -182,14 +191,20 @@ for _n in ("to_array", "to_list"):
 BIG = "WHERE o_totalprice > 100000"
 big = lambda r: r.o_totalprice > 100000
 OD = "SELECT o_orderkey, o_totalprice FROM orders {} ORDER BY {} LIMIT 1"
-for _n in ("first", "first_or_default", "first_or_throw"):
-    add(_n, lambda t: t("orders").OrderBy("o_orderdate").first_df(big).select("o_orderkey", "o_totalprice"), OD.format(BIG, "o_orderdate, o_orderkey"))
-for _n in ("last", "last_or_default", "last_or_throw"):
-    add(_n, lambda t: t("orders").OrderBy("o_orderpriority").last_df(big).select("o_orderkey", "o_totalprice"), OD.format(BIG, "o_orderpriority DESC, o_orderkey DESC"))
-for _n in ("single", "single_or_default", "single_or_throw"):
-    add(_n, lambda t: t("orders").single_df(lambda r: r.o_orderkey == 77).select("o_orderkey", "o_totalprice"), OD.format("WHERE o_orderkey = 77", "1"))
-for _n in ("element_at", "element_at_or_default"):
-    add(_n, lambda t: t("orders").OrderByDescending("o_totalprice").element_at_df(41).select("o_orderkey", "o_totalprice"), OD.format("", "o_totalprice DESC, o_orderkey") + " OFFSET 41")
+one = lambda s, row: s.spark.createDataFrame([] if row is None else [(row["o_orderkey"], row["o_totalprice"])], "o_orderkey long, o_totalprice double")
+for _n, _f in [("first", lambda s: s.First(big)), ("first_or_default", lambda s: s.FirstOrDefault(None, big)), ("first_or_throw", lambda s: s.FirstOrThrow(big))]:
+    add(_n, lambda t, f=_f: (lambda s: one(s, f(s)))(t("orders").OrderBy("o_orderdate")), OD.format(BIG, "o_orderdate, o_orderkey"))
+for _n, _f in [("last", lambda s: s.Last(big)), ("last_or_default", lambda s: s.LastOrDefault(None, big)), ("last_or_throw", lambda s: s.LastOrThrow(big))]:
+    add(_n, lambda t, f=_f: (lambda s: one(s, f(s)))(t("orders").OrderBy("o_orderpriority")), OD.format(BIG, "o_orderpriority DESC, o_orderkey DESC"))
+is77 = lambda r: r.o_orderkey == 77
+for _n, _f in [("single", lambda s: s.Single(is77)), ("single_or_default", lambda s: s.SingleOrDefault(None, is77)), ("single_or_throw", lambda s: s.SingleOrThrow(is77))]:
+    add(_n, lambda t, f=_f: (lambda s: one(s, f(s)))(t("orders")), OD.format("WHERE o_orderkey = 77", "1"))
+for _n, _f in [("element_at", lambda s: s.ElementAt(41)), ("element_at_or_default", lambda s: s.ElementAtOrDefault(41))]:
+    add(_n, lambda t, f=_f: (lambda s: one(s, f(s)))(t("orders").OrderByDescending("o_totalprice")), OD.format("", "o_totalprice DESC, o_orderkey") + " OFFSET 41")
+NEVER = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 0"
+never = lambda r: r.o_orderkey < 0
+for _n, _f in [("first", lambda s: s.FirstOrDefault(None, never)), ("last", lambda s: s.LastOrDefault(None, never)), ("single", lambda s: s.SingleOrDefault(None, never)), ("element_at", lambda s: s.ElementAtOrDefault(-1))]:
+    add(f"{_n}_default", lambda t, f=_f: (lambda s: one(s, f(s)))(t("orders")), NEVER)
 add("min_by", lambda t: t("orders").min_by_df(lambda r: F.nullif(r.o_orderstatus, F.lit("P"))).select("o_orderkey", "o_totalprice"), OD.format("", "nullif(o_orderstatus, 'P') NULLS FIRST, o_orderkey"))
 add("max_by", lambda t: t("orders").max_by_df("o_orderpriority").select("o_orderkey", "o_totalprice"), OD.format("", "o_orderpriority DESC NULLS LAST, o_orderkey"))
 add("any", lambda t: t("orders").any_df(lambda r: r.o_totalprice < 0), 'SELECT EXISTS (SELECT * FROM orders WHERE o_totalprice < 0) AS "value"')
@@ -205,9 +220,9 @@ add("average", lambda t: t("lineitem").average_df("l_quantity").select(F.round("
 add("median", lambda t: t("orders").median_df("o_totalprice").select(F.round("value", 4).alias("value")), 'SELECT round(median(o_totalprice), 4) AS "value" FROM orders')
 add("percentile", lambda t: t("orders").percentile_df(90, "o_totalprice").select(F.round("value", 4).alias("value")), 'SELECT round(quantile_cont(o_totalprice, 0.9), 4) AS "value" FROM orders')
 add("aggregate", lambda t: t("events").aggregate_df(F.lit(5).cast("long"), lambda a, x: (a * 31 + x) % 1000003, "event_id"), 'SELECT list_reduce(list_prepend(CAST(5 AS BIGINT), list(event_id ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS "value" FROM events')
-add("reduce", lambda t: t("events").aggregate_df(0, "sum", "event_id"), 'SELECT CAST(sum(event_id) AS BIGINT) AS "value" FROM events')
-for _n in ("to_dictionary", "to_map", "to_object"):
-    add(_n, lambda t: t("nation").dictionary_df("n_nationkey", "n_name"), "SELECT n_nationkey AS key, n_name AS element FROM nation")
+add("reduce", lambda t: (lambda s: s.spark.createDataFrame([(s.Reduce(0, "sum", of="event_id"),)], "value long"))(t("events")), 'SELECT CAST(sum(event_id) AS BIGINT) AS "value" FROM events')
+for _n, _op in [("to_dictionary", "ToDictionary"), ("to_map", "ToMap"), ("to_object", "ToObject")]:
+    add(_n, lambda t, op=_op: (lambda s: s.spark.createDataFrame([(int(k), v) for k, v in getattr(s, op)("n_nationkey", "n_name").items()], "key int, element string"))(t("nation")), "SELECT n_nationkey AS key, n_name AS element FROM nation")
 for _n in ("to_set", "to_hash_set"):
     add(_n, lambda t: t("customer").SelectKeys("c_mktsegment").to_set_df(), "SELECT DISTINCT c_mktsegment FROM customer")
 add("partition", lambda t: (lambda a, b: a.df.select("o_orderkey", F.lit(True).alias("fits")).unionByName(b.df.select("o_orderkey", F.lit(False).alias("fits"))))(*t("orders").Partition(big)), "SELECT o_orderkey, o_totalprice > 100000 fits FROM orders")
@@ -222,26 +237,34 @@ add("explain_text", lambda t: (lambda s: s.spark.createDataFrame([(s.ExplainText
 # -- sources, filters, streams ------------------------------------------------------------------------------
 add("range", lambda t: range_(t("region").spark, 5, 10).df, 'SELECT range AS "value" FROM range(5, 15)')
 add("repeat", lambda t: repeat(t("region").spark, "x", 4).df, "SELECT 'x' AS \"value\" FROM range(4)")
-add("empty", lambda t: t("region").Where(lambda r: r.r_regionkey < 0).df, "SELECT * FROM region WHERE false")
+add("empty", lambda t: (lambda s: empty(s.spark, s.schema).df)(t("region")), "SELECT * FROM region WHERE false")
 add("pipe", lambda t: t("region").pipe(lambda s: s.WhereGt("r_regionkey", 2)).df, "SELECT * FROM region WHERE r_regionkey > 2")
 FILTER = '?page=1&filter={"and":[{"field":"o_totalprice","op":"between","value":1000,"value2":120000},{"or":[{"field":"o_orderstatus","op":"eq","value":"F"},{"not":{"field":"o_orderpriority","op":"startsWith","value":"5"}}]}]}'
 add("query_string", lambda t: keep((lambda s: s.Where(predicate_from_parsed_query(s.schema, parse_query_string(FILTER))))(t("orders"))), OK2 + "o_totalprice BETWEEN 1000 AND 120000 AND (o_orderstatus = 'F' OR NOT starts_with(o_orderpriority, '5'))")
-add("filter_json", lambda t: keep((lambda s: s.Where(predicate_from_parsed_query(s.schema, {"filter": {"not": {"field": "o_orderstatus", "op": "in", "value": ["F", "O"]}}})))(t("orders"))), OK2 + "o_orderstatus NOT IN ('F', 'O')")
+add("filter_json", lambda t: keep((lambda s: s.Where(build_predicate(s.schema, parse_filter_json('{"not": {"field": "o_orderstatus", "op": "in", "value": ["F", "O"]}}'))))(t("orders"))), OK2 + "o_orderstatus NOT IN ('F', 'O')")
 add("json_path", lambda t: t("events").Select(lambda r: {"event_id": r.event_id, "k": F.get_json_object(r.props, "$.k").cast("long")}).df, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events")
 
 
-def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped count over a file stream, run to the end of what is there."""
+def events_stream(spark: SparkSession, sf_dir: str) -> StreamSeq:
     path = f"{sf_dir}/events.parquet"
     batch = spark.read.parquet(path)
     # a stream reads a folder: the table itself, or the folder that holds its one file
     one_file = batch.inputFiles()[0].endswith("/events.parquet")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet" if one_file else "*.parquet").load(sf_dir if one_file else path)
-    name = "seqloom_stream_count"
-    query = StreamSeq(stream).Where(lambda r: r.value > 10).CountBy("event_type").to_table(name, "complete")
-    query.awaitTermination()
-    return spark.table(name)
+    return StreamSeq(stream)
 
 
-QUERIES["op_stream_count_by"] = stream_count
-ORACLES["op_stream_count_by"] = "SELECT event_type, count(*) AS count FROM events WHERE value > 10 GROUP BY 1"
+def add_stream(name: str, func: Callable, sql: str) -> None:
+    """A grouped result over a file stream, run to the end of what is there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        query = func(events_stream(spark, sf_dir), lambda t: table(spark, sf_dir, t)).to_table(f"seqloom_{name}", "complete")
+        query.awaitTermination()
+        return spark.table(f"seqloom_{name}")
+
+    QUERIES[f"op_{name}"], ORACLES[f"op_{name}"] = run, sql
+
+
+add_stream("stream_count_by", lambda s, t: s.Where(lambda r: r.value > 10).CountBy("event_type"), "SELECT event_type, count(*) AS count FROM events WHERE value > 10 GROUP BY 1")
+add_stream("stream_select_many", lambda s, t: s.SelectMany(lambda r: F.array(r.event_type, F.upper(r.event_type))).CountBy("value"), 'SELECT unnest([event_type, upper(event_type)]) AS "value", count(*) AS count FROM events GROUP BY 1')
+add_stream("stream_join", lambda s, t: s.Select(lambda r: {"k": (r.user_id % 25).cast("int")}).Join(t("nation").df.withColumnRenamed("n_nationkey", "k"), "k").CountBy("n_name"), "SELECT n_name, count(*) AS count FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY 1")

@@ -67,3 +67,9 @@ def read(spark: SparkSession, path: str, format: str = "parquet", order_by: list
 
 def write(seq: Seq, path: str, format: str = "parquet", mode: str = "errorifexists", ordered: bool = False, **options) -> None:
     (seq.ordered_df() if ordered else seq.df).write.format(format).mode(mode).options(**options).save(path)
+
+
+#: The constructors are on the classes too: Seq.from_rows(spark, ...), AsyncSeq.range(spark, ...).
+for _name, _make in {"from_rows": from_rows, "from_df": from_df, "empty": empty, "range": range_, "repeat": repeat, "read": read}.items():
+    setattr(Seq, _name, staticmethod(_make))
+    setattr(AsyncSeq, _name, staticmethod(lambda *a, _make=_make, **k: AsyncSeq(_make(*a, **k))))
