@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
+import mmap
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +18,8 @@ from seqloom.plans.order import temporary
 
 #: A side of at most this many rows of a few numbers each may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A process that holds less than this keeps its free memory.
+HELD_BYTES = 256 << 20
 #: Bytes of text that the numpy code handles at once.
 CHUNK_BYTES = 4 << 20
 
@@ -54,11 +56,16 @@ def tasks(df: DataFrame) -> int:
 
 
 def release() -> None:
-    """Gives free memory of this process back, which else stays with a Python worker while other stages run."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
+    """Gives free memory of this process back where it holds much, which else stays with a Python worker while other
+    stages run. On systems without these calls nothing happens."""
+    try:
+        with open("/proc/self/statm") as f:
+            held = int(f.read().split()[1]) * mmap.PAGESIZE
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return
+    if held >= HELD_BYTES:
+        pa.default_memory_pool().release_unused()
         trim(0)
 
 
