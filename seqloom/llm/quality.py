@@ -122,3 +122,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: base figures and the verdict on every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (
+  SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n FROM (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS h FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w))) WHERE n > 1),
+rep AS (SELECT r, sum(least(3, coalesce(j - i, 3))) AS n FROM g GROUP BY r),
+l AS (SELECT r, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS x FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS x FROM d)),
+once AS (SELECT DISTINCT source, text, x FROM l WHERE x <> ''),
+bad AS (SELECT source, x FROM once GROUP BY ALL HAVING count(*) >= CASE WHEN length(x) - length(replace(x, ' ', '')) >= 9 THEN 3 ELSE 5 END),
+gone AS (SELECT r, sum(length(l.x) - length(replace(l.x, ' ', '')) + 1) AS n FROM l JOIN bad ON l.x = bad.x AND l.source IS NOT DISTINCT FROM bad.source GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(list_count(k) - len(list_distinct(k)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(gone.n, 0) AS BIGINT) AS n_words_left
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS k FROM w) AS w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_words_left >= n_words AS kept, n_words_left FROM f
+"""
