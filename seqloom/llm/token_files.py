@@ -5,13 +5,12 @@ File format, a Parquet container so that commits survive lost executors:
 - `codes`: one row a token id that occurs: token, count, length. Codes are canonical: ordered by (length, id).
 - `parts`: rows of up to SEGMENT tokens in the global document order: part (number of the range of documents),
   seq (number of the segment in its part), docs (packed document ids, null flags and token counts), bits (the
-  code stream, most significant bit first), marks (bit offset of every BLOCK-th token, 32-bit). A block is
+  code stream, most significant bit first), marks (bit offset of every BLOCK-th token, 64-bit). A block is
   decoded by itself from its mark.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from array import array
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import Work, chunks, pack, tasks, tidy, unpack, utf8
 
-#: Longest code in bits: the decoding table has 2 ** MAX_BITS entries.
+#: Longest code in bits, unless more ids occur than there are such codes: the decoding table has 2 ** MAX_BITS entries.
 MAX_BITS = 18
 #: Tokens between two bit-offset checkpoints.
 BLOCK = 512
@@ -207,36 +206,34 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 
 # -- codes --------------------------------------------------------------------------------------------------
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Huffman code lengths of the counts, none above `most`; 0 for a count of 0.
+    """Lengths of the shortest prefix code of the counts with none above `most`; 0 for a count of 0.
 
-    The counts are halved, rounded up, until the tree fits: a prefix code near the best one of limited length.
+    Package-merge: the items of a level are the ids and pairs of items of the level before, by weight; of the last
+    level's, the 2 n - 2 lightest are taken, and an id's length is the number of levels at which it is among them.
+    Where more ids occur than codes of `most` bits exist, codes are as long as they must be.
     """
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
-    if len(used) == 0:
-        return out
-    if len(used) > 1 << most:
-        raise ValueError(f"{len(used)} ids do not fit codes of {most} bits")
-    if len(used) == 1:
+    n = len(used)
+    if n < 2:
         out[used] = 1
         return out
-    weights = counts[used].astype(np.int64)
-    while True:
-        heap = [(int(w), n) for n, w in enumerate(weights)]
-        heapq.heapify(heap)
-        up, n = np.zeros(2 * len(used) - 1, np.int64), len(used)
-        while len(heap) > 1:
-            (w, a), (v, b) = heapq.heappop(heap), heapq.heappop(heap)
-            up[a] = up[b] = n
-            heapq.heappush(heap, (w + v, n))
-            n += 1
-        depth = np.zeros(n, np.int64)
-        for i in range(n - 2, -1, -1):
-            depth[i] = depth[up[i]] + 1
-        if depth[: len(used)].max() <= most:
-            out[used] = depth[: len(used)]
-            return out
-        weights = (weights + 1) // 2
+    most = max(most, int(n - 1).bit_length())
+    order = used[np.argsort(counts[used], kind="stable")]
+    leaves = counts[order].astype(np.float64)  # weights beyond 2 ** 53 may be rounded, which costs bits, not correctness
+    items, levels = leaves, [np.ones(n, bool)]
+    for _ in range(most - 1):
+        pairs = items[: len(items) // 2 * 2].reshape(-1, 2).sum(axis=1)
+        both = np.concatenate([leaves, pairs])
+        place = np.argsort(both, kind="stable")
+        items, leaf = both[place], place < n
+        levels.append(leaf)
+    take = 2 * n - 2
+    for leaf in reversed(levels):
+        own = int(leaf[:take].sum())
+        out[order[:own]] += 1
+        take = 2 * (take - own)
+    return out
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
@@ -264,7 +261,7 @@ def write_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
     size = (total >> 5) + 2
     high = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), size)
     low = np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-    return (high + low).astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], at[::BLOCK].astype(np.uint32)
+    return (high + low).astype(np.uint32).astype(">u4").tobytes()[: (total + 7) // 8], at[::BLOCK].astype(np.uint64)
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -300,8 +297,8 @@ def read_bits(bits: bytes, marks: np.ndarray, n: int, table: np.ndarray, width:
 def write_tokens(docs: DataFrame, work: Work, path: str, end_id: int | None = 2, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes whole texts and writes the format above into the work folder as `codes` and `parts`.
 
-    A null text is empty. Documents go by ascending id, nulls first; equal ids in the order of their tokens.
-    Other columns are not read. Ids of a text are made once and kept in a table, from which the global counts
+    A null text is empty. Documents go by ascending id, nulls first; equal ids in the order of their tokens. A very
+    long text is a segment of its own; an empty table gives files without rows. Other columns are not read. Ids of a text are made once and kept in a table, from which the global counts
     and then the streams come.
     """
     plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
@@ -391,7 +388,7 @@ def _read(spark: SparkSession, work: Work, with_tokens: bool) -> DataFrame:
         for b in batches:
             for part, seq, docs, bits, marks in zip(*[b.column(c).to_pylist() for c in ("part", "seq", "docs", "bits", "marks")]):
                 doc, n, null = unpack(docs, np.int64, np.int64, np.int8)
-                ids = read_bits(bits, np.frombuffer(marks, np.uint32), int(n.sum()), table, width, most).astype("<u4")
+                ids = read_bits(bits, np.frombuffer(marks, np.uint64), int(n.sum()), table, width, most).astype("<u4")
                 end = np.cumsum(n)
                 view = [ids[e - k : e].tobytes() for e, k in zip(end, n)]
                 out = [pa.array(doc, mask=null.astype(bool)), pa.array(np.full(len(doc), part, np.int64)), pa.array(np.full(len(doc), seq, np.int64)), pa.array(np.arange(len(doc)))]

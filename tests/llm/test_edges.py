@@ -1,5 +1,6 @@
 """Bounds and odd rows: null and repeated ids, long texts and hosts, empty tables."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -37,6 +38,22 @@ def test_cache_is_bounded():
     assert len(made) == 100
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_code_lengths_are_the_best(seed):
+    """Against all length vectors that a prefix code of few ids can have."""
+    rnd = random.Random(seed)
+    counts = np.array([rnd.choice([0, 1, 2, 5, 30, 200, 900]) for _ in range(6)] + [3])
+    for most in (3, 4, 6):
+        got = token_files.code_lengths(counts, most)
+        used = np.flatnonzero(counts)
+        assert (got > 0).tolist() == (counts > 0).tolist() and got.max() <= most
+        if len(used) > 1:
+            best = min(sum(k * c for k, c in zip(ks, counts[used])) for ks in itertools.product(range(1, most + 1), repeat=len(used)) if sum(2.0**-k for k in ks) <= 1)
+            assert (got * counts).sum() == best and (0.5 ** got[used]).sum() <= 1
+    many = token_files.code_lengths(np.arange(1, 1000), 5)
+    assert many.max() == 10 and (0.5**many).sum() == 1
+
+
 # -- 2 --
 def test_urls_long_hosts_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "a://" + "x." * 5000 + "example.com/en/" + "y" * 9000), (2, "a://" + ".".join("com" for _ in range(50)) + "/")], "page_id long, url string")
