@@ -1,7 +1,7 @@
 """Content-addressed WARC archive: payload bytes once by digest, exact headers apart, records by joins.
 
 Tables of an archive: `headers` (rid, page_id, payload, type, refers_rid, head: the record's header block, exact),
-`payloads` (payload: SHA-256 of the bytes, length, sha1, body), in buckets by payload, and `layout` (their number). A
+`payloads` (payload: SHA-256 of the bytes, body), in buckets by payload, and `layout` (their number). A
 record is head, body, CRLF CRLF.
 """
 
@@ -65,33 +65,38 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
     Of equal payloads of at least `least` bytes the row with the smallest id (nulls last, then the smallest row
     number) becomes the response and the others revisit it; smaller payloads are all responses. Groups of equal
     payloads meet only as (digest, smallest row), pre-aggregated, and a task hands on the bytes of a payload once, so
-    a payload that a third of the rows share costs no more than any other. Bytes are shuffled once, into the buckets
-    that they stay in.
+    a payload that a third of the rows share costs no more than any other. The pages are read twice, for the headers
+    and for the bytes, so that bytes are written just once, by the one shuffle into the buckets that they stay in; a
+    payload that the second reading lacks fails the records that need it.
     """
     spark = pages.sparkSession
     plain = pages.select(F.col(f"`{id_column}`").cast("long").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{body_column}`").cast("binary").alias("body"))
     plain = plain.withColumn("rid", F.monotonically_increasing_id())
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for b in chunks(batches, "body"):
             body = [x or b"" for x in b.column("body").to_pylist()]
-            digest = [hashlib.sha256(x).digest() for x in body]
-            cols = [pa.array(digest, pa.binary()), pa.array([sha1_base32(x) for x in body]), pa.array([len(x) for x in body], pa.int64())]
-            for k, d in enumerate(digest):
-                if d in seen:
-                    body[k] = None  # the task has handed these bytes on
-                seen.add(d)
+            cols = [pa.array([hashlib.sha256(x).digest() for x in body], pa.binary()), pa.array([sha1_base32(x) for x in body]), pa.array([len(x) for x in body], pa.int64())]
+            yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("url"), *cols], ["rid", "page_id", "url", "payload", "sha1", "length"])
+
+    def bytes_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in chunks(batches, "body"):
+            new = {}
+            for x in b.column("body").to_pylist():
+                d = hashlib.sha256(x or b"").digest()
+                if d not in seen:
+                    seen.add(d)
+                    new[d] = x or b""
             if len(seen) > SEEN:
                 seen.clear()
-            yield pa.record_batch([b.column("rid"), b.column("page_id"), b.column("url"), *cols, pa.array(body, pa.binary())], ["rid", "page_id", "url", "payload", "sha1", "length", "body"])
+            yield pa.record_batch([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["payload", "body"])
 
-    # one pass over the payloads: the rows and their bytes are written once, and each is read by column
-    rows = work.table("rows", plain.mapInArrow(tidy(facts), "rid long, page_id long, url string, payload binary, sha1 string, length long, body binary"))
+    rows = work.table("rows", plain.mapInArrow(tidy(facts), "rid long, page_id long, url string, payload binary, sha1 string, length long"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "rid")).alias("first")
     owners = rows.groupBy("payload").agg(first).select(F.col("payload").alias("digest"), "first")
     # digests and headers only; a merge join, whose hot keys are split, at every size
-    marked = rows.select("rid", "page_id", "url", "payload", "sha1", "length").join(owners.hint("merge"), F.col("payload") == F.col("digest")).drop("digest")
+    marked = rows.join(owners.hint("merge"), F.col("payload") == F.col("digest")).drop("digest")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,8 +113,8 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
     # of each payload's bytes, one of the copies that tasks handed on, in the buckets that reading joins by
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work.table("layout", spark.createDataFrame([(n,)], "buckets int"))
-    handed = rows.filter("body IS NOT NULL").select("payload", "length", "sha1", "body").repartition(n, "payload")
-    kept = handed.groupBy("payload").agg(*[F.first(c).alias(c) for c in ("length", "sha1", "body")])
+    handed = plain.select("body").mapInArrow(tidy(bytes_once), "payload binary, body binary").repartition(n, "payload")
+    kept = handed.groupBy("payload").agg(F.first("body").alias("body"))
     kept.write.insertInto(_payloads(spark, work, n))
     work.drop("rows")
 
@@ -117,12 +122,12 @@ def write_archive(pages: DataFrame, work: Work, least: int = 0, id_column: str =
 def _payloads(spark: SparkSession, work: Work, buckets: int) -> str:
     """The name under which the session knows the archive's bucketed payloads."""
     name = "seqloom_" + re.sub(r"\W", "_", work.root.rstrip("/").rsplit("/", 1)[-1])
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PAYLOADS}) USING parquet CLUSTERED BY (payload) INTO {buckets} BUCKETS LOCATION '{work.root}/payloads'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PAYLOADS}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (payload) INTO {buckets} BUCKETS LOCATION '{work.root}/payloads'")
     return name
 
 
 HEADERS = "rid long, page_id long, payload binary, type string, refers_rid long, head binary"
-PAYLOADS = "payload binary, length long, sha1 string, body binary"
+PAYLOADS = "payload binary, body binary"
 
 
 def records(spark: SparkSession, work: Work) -> DataFrame:
