@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from seqloom.plans.order import temporary
 
-#: A side of at most this many rows of a few numbers each may be broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many rows and bytes may be broadcast; beyond them, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: A process that holds less than this keeps its free memory.
 HELD_BYTES = 256 << 20
 #: Bytes of text that the numpy code handles at once.
@@ -46,8 +46,21 @@ class Work:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast only where a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The frame, marked for broadcast only where a count of rows and bytes shows that it is small."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).head()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """The bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(8), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(8))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
 
 
 def tasks(df: DataFrame) -> int:
