@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import SPACED, Words, Work, blocks_of, by_block, chunks, components, mix, pack, small, tasks, tidy, unpack, utf8
@@ -43,6 +43,10 @@ TRIES = 1024
 RANGES = 256
 #: Entries that a task holds before it hands them on.
 HELD = 1 << 19
+#: Columns that the sample expects to have more rows than this are not multiplied in one block.
+HOT = 1 << 17
+#: Rows of a column that are looked at in one task while its open pairs are listed.
+TILE = 4096
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -109,7 +113,8 @@ class Join:
         self.work.spark._jvm.System.gc()
 
     # -- frequent shingles last ----------------------------------------------------------------------------
-    def frequent(self) -> np.ndarray:
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent shingles, and those of them whose columns are hot."""
         width, n_blocks = self.width, self.n_blocks
         part = self.docs.filter((F.length("text") > 0) & (F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).select("text")
 
@@ -138,18 +143,21 @@ class Join:
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
         found = part.mapInArrow(tidy(count), "block int, data binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(total), "h long, n long")
-        top = found.orderBy(F.desc("n"), "h").limit(MOST).select("h").toPandas()  # at most MOST numbers
-        return np.sort(top["h"].to_numpy(np.int64).astype(np.uint64))
+        top = found.orderBy(F.desc("n"), "h").limit(MOST).toPandas()  # at most MOST numbers
+        h, n = top["h"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
+        return np.sort(h), np.sort(h[n * SAMPLE > HOT])
 
     # -- one pass over the texts ---------------------------------------------------------------------------
     def scan(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Documents (doc_id, n, entity), rows' sizes by range (entity, sizes), and the product's entries in blocks
         of columns."""
         width, percent, n_blocks = self.width, self.percent, self.n_blocks
-        shared = self.work.spark.sparkContext.broadcast(self.frequent())
+        found = self.frequent()
+        self.any_hot = len(found[1]) > 0
+        shared = self.work.spark.sparkContext.broadcast(found)
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            late, seen = shared.value, set()
+            (late, hot), seen = shared.value, set()
             held: list[tuple[np.ndarray, int, int]] = []  # prefix, name, size of the set
             docs: list[tuple[int | None, int, int]] = []
             sizes: dict[type, list[tuple[int, np.ndarray]]] = {np.uint8: [], np.uint32: []}
@@ -169,6 +177,11 @@ class Join:
                     h, e, s = np.concatenate([x[0] for x in held]), np.repeat(np.array([x[1] for x in held], np.int64), n), np.repeat(np.array([x[2] for x in held], np.uint32), n)
                     pos = np.concatenate([np.arange(k, dtype=np.uint32) for k in n])
                     held.clear()
+                    if len(hot):
+                        own = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                        if own.any():
+                            yield pa.record_batch([pa.array([-4], pa.int32()), pa.array([pack(h[own], e[own], s[own], pos[own])], pa.binary())], ["block", "data"])
+                            h, e, s, pos = (x[~own] for x in (h, e, s, pos))
                     for b, cols in by_block((h % np.uint64(n_blocks)).astype(np.int64), n_blocks, h, e, s, pos):
                         yield pa.record_batch([pa.array([b], pa.int32()), pa.array([pack(*cols)], pa.binary())], ["block", "data"])
 
@@ -210,16 +223,17 @@ class Join:
                     data = [d[8 * n + k * width : 8 * n + (k + 1) * width] for k in range(n)]
                     yield pa.record_batch([pa.array(np.frombuffer(d, np.int64, n)), pa.array(data, pa.binary())], ["entity", "sizes"])
 
-        by_range = rows.filter("block < -1").mapInArrow(tidy(spread_sizes), "entity long, sizes binary")
+        by_range = rows.filter("block IN (-2, -3)").mapInArrow(tidy(spread_sizes), "entity long, sizes binary")
         by_range = self.work.table("sizes", by_range.groupBy("entity").agg(F.first("sizes").alias("sizes")))
         docs = self.work.table("docs", rows.filter("block = -1").select("data").mapInArrow(tidy(spread), "doc_id long, n long, entity long"))
-        return docs, by_range, rows.filter("block >= 0")
+        return docs, by_range, rows.filter("block >= 0 OR block = -4")
 
     # -- the blocked product -------------------------------------------------------------------------------
     def multiply(self, entries: DataFrame) -> DataFrame:
         """Candidates: rows without a column are pairs (a, b); rows with one are a long column's members, with
         the pivots of their own and the next size class."""
         step, percent = self.step, self.percent
+        hot, entries = entries.filter("block = -4"), entries.filter("block >= 0")
 
         names = ["col", "a", "b", "c", "cls", "n", "place"]
 
@@ -269,7 +283,34 @@ class Join:
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = entries.repartition(parts, "block").sortWithinPartitions("block")
-        return self.work.table("cand", rows.mapInArrow(tidy(product), ", ".join(f"{c} long" for c in names)))
+        found = rows.mapInArrow(tidy(product), ", ".join(f"{c} long" for c in names))
+        return self.work.table("cand", found.unionByName(self._hot(hot, names)) if self.any_hot else found)
+
+    def _hot(self, entries: DataFrame, names: list[str]) -> DataFrame:
+        """Candidates of hot columns, whose rows no task has together: pivots come from a sum in each task, and columns
+        with the same rows stand for each other."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for d in b.column("data").to_pylist():
+                    h, e, n, pos = unpack(d, np.uint64, np.int64, np.uint32, np.uint32)
+                    yield pa.record_batch([pa.array(h.astype(np.int64)), pa.array(e), pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], ["col", "a", "n", "place"])
+
+        rows = entries.select("data").mapInArrow(tidy(spread), "col long, a long, n long, place long")
+        rows = self.work.table("hot", rows.groupBy("col", "a").agg(F.min("n").alias("n"), F.min("place").alias("place")))
+        of = rows.groupBy(F.col("col").alias("own")).agg(F.bit_xor(F.xxhash64("a")).alias("x"), F.count("*").alias("k"))
+        of = of.select("own", F.min("own").over(Window.partitionBy("x", "k", F.pmod("own", F.lit(4)))).alias("name"))
+        rows = rows.join(small(of), F.col("col") == F.col("own")).groupBy(F.col("name").alias("col"), "a").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+        cls = F.least(F.lit(255), F.floor(F.log("n") / float(self.step))).cast("long")
+        rows = self.work.table("hotrows", rows.withColumn("cls", cls))
+        pivots = self.work.table("pivots", rows.groupBy("col", "cls").agg(F.min_by("a", F.xxhash64("a", "col")).alias("p")))
+        own, nxt = (small(pivots.select(F.col("col").alias(f"{x}col"), (F.col("cls") - k).alias(f"{x}cls"), F.col("p").alias(x))) for x, k in (("b", 0), ("c", 1)))
+        members = rows.join(own, (F.col("col") == F.col("bcol")) & (F.col("cls") == F.col("bcls"))).join(nxt, (F.col("col") == F.col("ccol")) & (F.col("cls") == F.col("ccls")), "left")
+        members = self.work.table("hotmembers", members.select(*names))
+        pairs = members.select("a", F.col("b").alias("p")).union(members.filter("c IS NOT NULL").select("a", F.col("c").alias("p"))).filter("a <> p").distinct()
+        none = {c: F.lit(None).cast("long").alias(c) for c in names}
+        pairs = pairs.select(*[{"a": F.least("a", "p").alias("a"), "b": F.greatest("a", "p").alias("b")}.get(c, none[c]) for c in names])
+        return members.unionByName(pairs)
 
     # -- exact overlaps ------------------------------------------------------------------------------------
     def overlaps(self, name: str, docs: DataFrame, by_range: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -346,8 +387,10 @@ class Join:
         has rows of different components."""
         slack, percent = 1 - self.percent / 100 + 1e-9, self.percent
         named = members.join(found, F.col("a") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "a"))
-        mixed = named.groupBy("col").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("col")
-        left = self.work.table(f"mixed{turn}", named.join(small(mixed), "col", "left_semi"))
+        # of each column: its rows, and the component that most of them are in
+        kinds = named.groupBy("col", "component").agg(F.count("*").alias("k"))
+        mixed = kinds.groupBy("col").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+        left = self.work.table(f"mixed{turn}", named.join(small(mixed), "col"))
         if not left.limit(1).count():
             return None
         vectors = by_range.join(small(left.select(F.col("a").alias("want")).distinct()), F.col("entity") == F.col("want"), "left_semi")
@@ -365,25 +408,19 @@ class Join:
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def solve(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-                if t["component"].min() == t["component"].max():
-                    return
-                _, inverse, n = np.unique(t["component"], return_inverse=True, return_counts=True)
-                small_one = inverse != np.argmax(n)
+                mine, rest = t["side"] == 1, t["side"] == 0
                 rng = np.random.default_rng([turn or 0, len(t["a"]), int(t["a"][0]) & 0x7FFFFFFF])
-                for c in np.unique(t["cls"]):
-                    mine = t["cls"] == c
-                    for other, key in ((c, "d_own"), (c + 1, "d_next")):
-                        theirs = t["cls"] == other
-                        x, lx, hx, gx, nx, px, sx, vx = (v[mine] for v in (t["a"], t[key], t[key + "_hi"], t["component"], t["n"], t["place"], small_one, t["sizes"]))
-                        y, ly, hy, gy, ny, py, vy = (t[n][theirs] for n in ("a", "d_own", "d_own_hi", "component", "n", "place", "sizes"))
+                for c in np.unique(t["cls"][mine]):
+                    # pairs that have a pivot in common: of the row's class, of the next, of the one before
+                    for other, key, their in ((c, "d_own", "d_own"), (c + 1, "d_next", "d_own"), (c - 1, "d_own", "d_next")):
+                        these, those = mine & (t["cls"] == c), rest & (t["cls"] == other)
+                        x, lx, hx, gx, nx, px, vx = (v[these] for v in (t["a"], t[key], t[key + "_hi"], t["component"], t["n"], t["place"], t["sizes"]))
+                        y, ly, hy, gy, ny, py, vy = (v[those] for v in (t["a"], t[their], t[their + "_hi"], t["component"], t["n"], t["place"], t["sizes"]))
                         order = np.argsort(hy)
                         y, ly, hy, gy, ny, py, vy = (v[order] for v in (y, ly, hy, gy, ny, py, vy))
                         low = np.searchsorted(hy, lx - slack)
-                        for i in np.flatnonzero(sx) if turn is not None else range(len(x)):
-                            k = low[i]
+                        for i, k in enumerate(low):
                             sel = np.flatnonzero((gy[k:] != gx[i]) & (ly[k:] <= hx[i] + slack) & could(nx[i], px[i], ny[k:], py[k:], percent)) + k
-                            if other == c and turn is None:
-                                sel = sel[y[sel] > x[i]]  # each pair of one class has two turns
                             if turn is not None and len(sel) > TRIES:
                                 sel = sel[rng.integers(len(sel), size=TRIES)]
                             most = most_shared(vx[i], vy[sel])
@@ -403,15 +440,15 @@ class Join:
             def columns() -> Iterator[tuple[np.ndarray, ...]]:
                 now, held = None, []
                 for b in batches:
-                    key = np.asarray(b.column("col"))
-                    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+                    col, tile = np.asarray(b.column("col")), np.asarray(b.column("tile"))
+                    cut = np.flatnonzero((col[1:] != col[:-1]) | (tile[1:] != tile[:-1])) + 1
                     for s, e in zip([0, *cut], [*cut, b.num_rows]):
                         if s == e:
                             continue
-                        if key[s] != now and held:
+                        if (col[s], tile[s]) != now and held:
                             yield from column(held)
                             held = []
-                        now = key[s]
+                        now = col[s], tile[s]
                         part = b.slice(s, e - s)
                         held.append({n: part.column(n).to_numpy(zero_copy_only=False).astype(float if n[0] == "d" else np.int64) for n in names} | {"sizes": part.column("sizes").to_pylist()})
                 if held:
@@ -421,7 +458,7 @@ class Join:
                 t = np.unique(np.concatenate([np.stack(r) for r in rows], axis=1), axis=1)
                 return pa.record_batch([pa.array(c) for c in t], ["a", "b", "na", "nb", "most"])
 
-            names = ["a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
+            names = ["a", "side", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component"]
             out, n = [], 0
             for r in columns():
                 out.append(r)
@@ -433,7 +470,12 @@ class Join:
                 yield once(out)
 
         parts = int(self.work.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = left.join(vectors, F.col("a") == F.col("entity")).select("col", "a", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component", "sizes").repartition(parts, "col").sortWithinPartitions("col")
+        # a row outside the column's largest component meets all rows of the column, TILE of them in a task
+        rows = left.join(vectors, F.col("a") == F.col("entity")).withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
+        those = rows.withColumn("tile", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")).withColumn("side", F.lit(0))
+        these = rows.filter("component <> most").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
+        picked = ["col", "tile", "a", "side", "cls", "n", "place", "d_own", "d_own_hi", "d_next", "d_next_hi", "component", "sizes"]
+        rows = those.select(*picked).union(these.select(*picked)).repartition(parts, "col", "tile").sortWithinPartitions("col", "tile")
         new = rows.mapInArrow(tidy(pairs), "a long, b long, na long, nb long, most long").distinct()
         return new.join(measured.select("a", "b"), ["a", "b"], "left_anti")
 

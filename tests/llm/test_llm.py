@@ -153,6 +153,25 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.near_duplicates(none, Work(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("hot, tile", [(5, 4096), (5, 7), (1 << 17, 5)])
+def test_ngram_join_of_hot_columns(spark, monkeypatch, hot, tile):
+    """Columns that no task has whole, and open pairs in tiles, find what brute force finds."""
+    for name, value in (("SAMPLE", 1), ("HOT", hot), ("TILE", tile), ("SHORT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(hot + tile)
+    rows = []
+    for group in range(5):
+        base = [f"g{group}w{i}" for i in range(rnd.randint(40, 70))]
+        for _ in range(28):
+            w = base[: rnd.randint(30, len(base))]
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(["a very common passage of words", *w])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, ngram_join.near_duplicates(frame, Work(spark, "t")).collect()))
+    assert got == brute_components(rows, 4, 85)
+
+
 # -- 4 --
 def test_language_id(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
