@@ -264,3 +264,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, g, len(g) AS k FROM (SELECT item_id, w[i:i + 9] AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))),
+q AS (SELECT r, i, w[i] || ' ' || coalesce(w[i + 1], '') AS s FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT DISTINCT r, i, k FROM q JOIN (SELECT DISTINCT k, g[1] || ' ' || coalesce(g[2], '') AS s FROM g WHERE k > 1) USING (s) UNION SELECT r, i, 1 FROM q WHERE EXISTS (SELECT 1 FROM g WHERE k = 1) ),
+m AS MATERIALIZED (SELECT r, i, k, item_id FROM (SELECT r, i, k, w[i:i + k - 1] AS g FROM c JOIN d USING (r)) JOIN g USING (k, g)),
+n AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(i, i + k)) AS x FROM m) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
