@@ -526,3 +526,19 @@ def near_duplicates(docs: DataFrame, work: Work, width: int = 4, percent: int =
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every document's shingle count and component."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Work(spark, "ngrams"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, CASE WHEN len(w) >= 4 THEN hash(w[i], w[i + 1], w[i + 2], w[i + 3]) ELSE hash(array_to_string(w, ' ')) END AS h FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+e AS MATERIALIZED (SELECT r, n, min(r) OVER (PARTITION BY n, x, y) AS e FROM (SELECT r, count(*) AS n, bit_xor(h) AS x, sum(h) AS y FROM s GROUP BY r)),
+x AS MATERIALIZED (SELECT e, n, h FROM e JOIN s USING (r) WHERE r = e),
+p AS (SELECT a.e AS a, b.e AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x AS a JOIN x AS b ON a.h = b.h AND a.e < b.e AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT DISTINCT a, a AS b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
+m AS (SELECT c.a AS e, min(doc_id) AS low FROM c JOIN e ON e.e = c.b JOIN d USING (r) GROUP BY 1),
+o AS (SELECT e, min(doc_id) AS low FROM e JOIN d USING (r) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(m.low, o.low, doc_id) AS component_id
+FROM d LEFT JOIN e USING (r) LEFT JOIN m ON m.e = e.e LEFT JOIN o ON o.e = e.e
+"""

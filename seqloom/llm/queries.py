@@ -14,4 +14,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op2_url_filters": url_filters.ORACLE, "op5_warc": warc.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_mixing": mixing.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES = {"op2_url_filters": url_filters.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_warc": warc.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op9_mixing": mixing.ORACLE, "op10_quality": quality.ORACLE}
