@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.plans.order import temporary
+from seqloom.plans.order import shared_folder, temporary
 
 #: A side of at most so many rows and bytes may be broadcast; beyond them, joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -26,10 +26,11 @@ CHUNK_BYTES = 4 << 20
 
 class Work:
     """Tables written between the stages of one operator, so that no stage depends on an executor's memory. Their
-    folder is in the shared one and goes when the driver ends: results to keep are written elsewhere."""
+    folder is in the shared one and goes when the driver ends, unless it is kept: for archives and token files."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, temporary(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
+        name = f"{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}" if keep else temporary(spark, name)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")

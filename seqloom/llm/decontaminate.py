@@ -16,6 +16,8 @@ from seqloom.llm.common import ALNUM, Words, chunks, tidy, utf8
 WINDOW = 10
 #: Distance of sampled suffix positions.
 SAMPLE = 8
+#: Bytes of text that a benchmark may have.
+ITEM_BYTES = 64 << 20
 #: Bytes of text in a shard's index.
 SHARD_BYTES = 6 << 20
 
@@ -190,10 +192,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     Null and empty texts have no words. Repeated rows get equal results; items with equal text are all named, and an
     id that several items have is named once. Items with a null id are left out; with null_items their windows are
     searched too, and only the list of ids lacks them.
-    The benchmark is a test set, read by the driver: its size is bounded by what people write as tests and it
-    is broadcast as word hashes. Each task indexes its texts in shards of SHARD_BYTES, equal texts of a shard
+    The benchmark is a test set, read by the driver and broadcast as word hashes; one of more than ITEM_BYTES of text
+    raises ValueError. Each task indexes its texts in shards of SHARD_BYTES, equal texts of a shard
     once; nothing is shuffled.
     """
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{item_text}`")).cast("long") + 8), F.lit(0))).head()[0]
+    if size > ITEM_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than {ITEM_BYTES}: search its parts one after the other")
     items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).collect() if null_items or r[0] is not None]
     phrases, sizes, pairs, _ = windows_of([t for _, t in items], [None if i is None else str(i) for i, _ in items], window)
     owner: dict[int, list[str]] = {}
