@@ -52,10 +52,10 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns their index."""
+    """Writes the token files, which stay in the shared folder, and returns their index."""
     import public_tokenizers
 
-    work = Work(spark, "pipeline-tokens")
+    work = Work(spark, "pipeline-tokens", keep=True)
     token_files.write_tokens(docs, work, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.token_index(spark, work)
 
