@@ -146,7 +146,7 @@ add("group_by", lambda t: numbered(t("events").GroupBy("event_type", "event_id")
 add("group_by_agg", lambda t: numbered(t("lineitem").GroupBy("l_suppkey").Agg(qty=F.sum(money("l_quantity")).cast("double")), "key", "qty"), f"SELECT l_suppkey AS key, CAST(sum({dec('l_quantity')}) AS DOUBLE) qty, row_number() OVER (ORDER BY min(struct_pack({', '.join(f'{c} := {c}' for c in LINE.split(', '))}))) - 1 AS ord FROM lineitem GROUP BY 1")
 add("group_by_many", lambda t: t("orders").GroupByMany("o_orderstatus", "o_orderpriority").Agg(n=F.count("*")).Select(lambda r: {"s": r["key.o_orderstatus"], "p": r["key.o_orderpriority"], "n": r.n}).df, "SELECT o_orderstatus s, o_orderpriority p, count(*) n FROM orders GROUP BY 1, 2")
 add("aggregate_by", lambda t: numbered(t("events").AggregateBy("user_id", 0, lambda a, x: a + x["event_id"].cast("int")), "key", "value"), 'SELECT user_id AS key, CAST(sum(event_id) AS INTEGER) AS "value", row_number() OVER (ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY 1')
-add("aggregate_by_comparer", lambda t: numbered(t("events").AggregateBy("user_id", 0, lambda a, x: a + x["event_id"].cast("int"), comparer=lambda k: k % 10), "key", "value"), 'SELECT arg_min(user_id, event_id) AS key, CAST(sum(event_id) AS INTEGER) AS "value", row_number() OVER (ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY user_id % 10')
+add("aggregate_by_comparer", lambda t: numbered(t("events").AggregateBy("user_id", F.lit(0).cast("long"), lambda a, x: a + x["event_id"], comparer=lambda k: k % 10), "key", "value"), 'SELECT arg_min(user_id, event_id) AS key, CAST(sum(event_id) AS BIGINT) AS "value", row_number() OVER (ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY user_id % 10')
 add("group_by_descending", lambda t: numbered(t("events").OrderByDescending("event_id").GroupBy("event_type", "event_id").Select(lambda r: {"key": r.key, "all": F.sha2(F.concat_ws(",", r.elements.cast("array<string>")), 256)}), "key", "all"), "SELECT event_type AS key, sha256(string_agg(event_id, ',' ORDER BY event_id DESC)) AS all, row_number() OVER (ORDER BY max(event_id) DESC) - 1 AS ord FROM events GROUP BY 1")
 add("count_by", lambda t: t("events").count_by_df(lambda r: F.nullif(r.event_type, F.lit("click"))), "SELECT nullif(event_type, 'click') AS key, count(*) AS count FROM events GROUP BY 1")
 add("to_lookup", lambda t: (lambda s: s.spark.createDataFrame([(k, "|".join(v)) for k, v in s.ToLookup("n_regionkey", "n_name")], "key int, names string"))(t("nation")), "SELECT n_regionkey AS key, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
