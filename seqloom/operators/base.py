@@ -16,7 +16,6 @@ class Base:
     def __init__(self, df: DataFrame, keys: list[Key] = (), log: tuple = (), chain: int = 0):
         self._df, self._keys, self._log, self._chain = df, list(keys), tuple(log), chain
         self._contiguous = False  # ORD is present and has no gaps
-        self._skipped = None  # the sequence and the count of the Skip that gave this one
 
     @classmethod
     def of(cls, df: DataFrame, order_by: list | None = None):
@@ -64,10 +63,6 @@ class Base:
 
         return Seq(df, self._keys if keys is None else keys, (*self._log, (kind, detail)), chain)
 
-    def _logged(self, log: tuple):
-        self._log = tuple(log)
-        return self
-
     def _ordinal(self):
         """The same sequence with ORD in its frame and as its only key."""
         if self._contiguous:

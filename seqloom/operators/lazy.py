@@ -173,26 +173,17 @@ class Lazy(Base):
 
     # -- position --------------------------------------------------------------------------------------------
     def Take(self, count: int):
-        _count(count)
-        if self._skipped is not None:  # Skip and Take together are a range of positions
-            base, start = self._skipped
-            s, df = base._range(start, count)
-            return s._with(df, "take", detail=count)._logged((*self._log, ("take", count)))
-        return self._with(self._sorted().limit(count), "take", detail=count)
+        return self._with(self._sorted().limit(_count(count)), "take", detail=count)
 
     def Skip(self, count: int):
-        """All items but the first ones, by position: no task gets them all."""
-        if _count(count) == 0:
-            return self._with(self._df, "skip", detail=count)
-        s = self._ordinal()
-        out = s._with(s._df.filter(F.col(ORD) >= count), "skip", detail=count)
-        out._skipped = (self, count)
-        return out
+        from seqloom.operators.seq import SkippedSeq
+
+        return SkippedSeq(self, count) if _count(count) else self._with(self._df, "skip", detail=count)
 
     def _range(self, start: int, count: int):
         """Items from a position on, and the sequence whose keys they have: the best of all near the start, by ordinal
         further on, where a task's best would be too many."""
-        if start + count <= NEAR:
+        if start + _count(count) <= NEAR:
             return self, self._sorted().offset(start).limit(count)
         s = self._ordinal()
         return s, s._df.filter((F.col(ORD) >= start) & (F.col(ORD) < start + count))

@@ -7,9 +7,12 @@ import re
 import uuid
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from seqloom.operators.combine import Combine
 from seqloom.operators.lazy import Lazy
 from seqloom.operators.terminals import Terminals
+from seqloom.plans.order import ORD
 
 
 def _snake(name: str) -> str:
@@ -43,28 +46,63 @@ def register(name: str, func: Callable, replace: bool = False) -> None:
         setattr(Seq, n, func)
 
 
-class GroupedSeq(Seq):
-    """What GroupBy gives. The groups' arrays are planned only when they are read, so Agg() never builds them."""
+class LateSeq(Seq):
+    """A sequence that is planned only when its rows are read."""
 
-    def __init__(self, source: Seq, key, element):
-        self._source, self._key, self._element, self._built = source, key, element, None
-        self._log, self._chain, self._contiguous, self._skipped = (*source._log, ("groupBy", None)), 0, False, None
+    def __init__(self, source: Seq, kind: str, detail=None):
+        self._source, self._built = source, None
+        self._log, self._chain, self._contiguous = (*source._log, (kind, detail)), 0, False
 
     def _build(self):
+        raise NotImplementedError
+
+    def _plan(self):
         if self._built is None:
-            s, seen, at = self._source._first_seen()
-            s, items = s._in_order(s._col(self._element))
-            df = s._df.groupBy(s._col(self._key).alias("key")).agg(seen, items.alias("elements"))
-            self._built = df.select("key", "elements", at.name), [at]
+            self._built = self._build()
         return self._built
 
     @property
     def _df(self):
-        return self._build()[0]
+        return self._plan()[0]
 
     @property
     def _keys(self):
-        return self._build()[1]
+        return self._plan()[1]
+
+
+class GroupedSeq(LateSeq):
+    """What GroupBy gives: Agg() never builds the groups' arrays."""
+
+    def __init__(self, source: Seq, key, element):
+        super().__init__(source, "groupBy")
+        self._key, self._element = key, element
+
+    def _build(self):
+        s, seen, at = self._source._first_seen()
+        s, items = s._in_order(s._col(self._element))
+        df = s._df.groupBy(s._col(self._key).alias("key")).agg(seen, items.alias("elements"))
+        return df.select("key", "elements", at.name), [at]
+
+
+class SkippedSeq(LateSeq):
+    """What Skip gives: all items but the first ones, by position, so no task gets them all. With a Take the two are a
+    range, which near the start needs no positions."""
+
+    def __init__(self, source: Seq, count: int):
+        super().__init__(source, "skip", count)
+        self._count = count
+
+    def _build(self):
+        s = self._source._ordinal()
+        return s._df.filter(F.col(ORD) >= self._count), s._keys
+
+    def Take(self, count: int):
+        s, df = self._source._range(self._count, count)
+        out = s._with(df, "take", detail=count)
+        out._log = (*self._log, ("take", count))
+        return out
+
+    take = Take
 
 
 class AsyncSeq:
