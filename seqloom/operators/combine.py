@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.base import Base
-from seqloom.plans.exprs import RowProxy
+from seqloom.plans.exprs import Py, RowProxy
+from seqloom.plans.folds import by_key
 from seqloom.plans.order import HIDDEN, ORD, Key, fresh
 
 L, R = f"{HIDDEN}l_", f"{HIDDEN}r_"
@@ -56,12 +57,21 @@ class Combine(Base):
 
     def AggregateBy(self, key, seed=None, func=None, comparer=None):
         """key and value in first-seen order. func: an aggregate Column, or a Column lambda (acc, item) folded
-        over the group's ordered array; a callable seed is called with the group's first item. A comparer is given as
-        a function that normalises keys; a group then has the key of its first item."""
+        over the group's ordered array, or py(lambda acc, item: ..., type) in a streaming pass; a callable seed is called
+        with the group's first item. A comparer is given as a function that normalises keys; a group then has the key
+        of its first item."""
         if isinstance(func, Column) and comparer is None:
             return self.GroupBy(key).Agg(value=func)
         s = self._ordinal() if self._needs_ordinal(key) else self
         c = s._col(key)
+        if isinstance(func, Py):
+            t, order, up = s._packed()
+            at = fresh("g")
+            df = by_key(t._df, comparer(c) if comparer else c, t._item(), order, up, seed, func, at)
+            if comparer:
+                own = t._df.groupBy(comparer(c).alias("k")).agg((F.min_by if up else F.max_by)(c, order).alias("first"))
+                df = df.join(own, F.col("key").eqNullSafe(F.col("k"))).select(F.col("first").alias("key"), "value", at)
+            return s._with(df, "aggregateBy", [Key(at, up)])
         if isinstance(func, Column):
             t, order, up = s._packed()
             g = t.GroupBy(comparer(c)).Agg(first=(F.min_by if up else F.max_by)(c, order), value=func)

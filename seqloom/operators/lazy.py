@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from seqloom.functions import predicates as P
 from seqloom.operators.base import Base
 from seqloom.plans.exprs import Py, check_path, resolve
+from seqloom.plans.folds import scan
 from seqloom.plans.order import HIDDEN, ORD, Key, fresh, running
 
 
@@ -277,9 +278,11 @@ class Lazy(Base):
     def Scan(self, seed, func, of=None):
         """The seed and every running accumulator after it.
 
-        func: "sum", "count", "min" or "max", folded in parallel; or a Column lambda (acc, item), which needs
-        the whole sequence in one array.
+        func: "sum", "count", "min" or "max", folded in parallel; py(lambda acc, item: ..., type), in one streaming pass
+        over the ordered rows; or a Column lambda (acc, item), which needs the whole sequence in one array.
         """
+        if isinstance(func, Py):
+            return self._with(scan(self._df, self._col(of), [k.column() for k in self._keys], seed, func, ORD), "scan", [Key(ORD)])
         s = self._ordinal()
         if isinstance(func, str):
             name = fresh("s")

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from seqloom.functions.errors import ArgumentOutOfRangeError, EmptySequenceError, InvalidOperationError, MoreThanOneElementError
 from seqloom.functions.pagination import CursorPage, clamp_page_size, create_page_result, parse_cursor
 from seqloom.operators.base import Base
-from seqloom.plans.exprs import arity
+from seqloom.plans.exprs import Py, arity
+from seqloom.plans.folds import scan
 from seqloom.plans.order import ORD, Key, small_plan, with_ordinal
 
 _NOTHING = object()
@@ -287,7 +288,10 @@ class Terminals(Base):
 
     # -- folds -----------------------------------------------------------------------------------------------
     def aggregate_df(self, seed, func, of=None) -> DataFrame:
-        """func: "sum", "count", "min", "max" (parallel), or a Column lambda (acc, item) over the ordered array."""
+        """func: "sum", "count", "min", "max" (parallel), py(lambda acc, item: ..., type) in one streaming pass, or a
+        Column lambda (acc, item) over the ordered array."""
+        if isinstance(func, Py):
+            return scan(self._df, self._col(of), [k.column() for k in self._keys], seed, func, ORD, last=True)
         c = self._col(of)
         if isinstance(func, str):
             whole = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[func](c)
@@ -299,8 +303,9 @@ class Terminals(Base):
         return s._df.agg(a.alias("a")).select(F.aggregate("a", F.lit(seed), lambda acc, x: func(acc, x["v"])).alias("value"))
 
     def Aggregate(self, seed, func, of=None):
-        """A left fold. A Python function of (acc, item[, index]) runs on the driver over the ordered rows."""
-        if isinstance(func, str):
+        """A left fold. A plain Python function of (acc, item[, index]) runs on the driver over the ordered rows; given as
+        py(func, type) it runs in a task."""
+        if isinstance(func, (str, Py)):
             return self.aggregate_df(seed, func, of).head()[0]
         acc, indexed = seed, arity(func) > 2
         for n, item in enumerate(self if of is None else self.Select(of)):

@@ -131,7 +131,7 @@ def shared_folder(spark) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     return f"{tempfile.gettempdir()}/seqloom-checkpoints"
 

@@ -125,3 +125,28 @@ def test_temporary_tables_need_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         order.shared_folder(Session)
+
+
+def test_folds_in_a_streaming_pass(spark):
+    s = q.from_df(spark.range(2000).select((F.col("id") * 7919 % 2003).alias("v"), (F.col("id") % 5).cast("int").alias("k")).repartition(6), ["v"])
+    rows = sorted((i * 7919 % 2003, i % 5) for i in range(2000))
+    step = lambda acc, x: (acc * 31 + x) % 1000003
+    want = [5]
+    for v, _ in rows:
+        want.append(step(want[-1], v))
+    assert s.Scan(5, q.py(step, "long"), "v").ToArray() == want
+    assert s.Aggregate(5, q.py(step, "long"), "v") == want[-1] and s.Reduce(5, q.py(step, "long"), of="v") == want[-1]
+    assert s.Where(lambda r: r.v < 0).Aggregate(5, q.py(step, "long"), "v") == 5 and s.Where(lambda r: r.v < 0).Scan(5, q.py(step, "long"), "v").ToArray() == [5]
+    groups, first = {}, {}
+    for v, k in rows:
+        groups[k], first[k] = step(groups.get(k, v + 1), v), first.get(k, v)
+    fold = q.py(lambda acc, r: step(acc, r["v"]), "long")
+    got = s.AggregateBy("k", lambda r: r["v"] + 1, fold).ToArray()
+    assert [tuple(r) for r in got] == [(k, groups[k]) for k in sorted(groups, key=first.get)]
+    pairs = {}
+    for v, k in rows:
+        pair = pairs.setdefault(k % 2, [k, 0])
+        pair[1] = step(pair[1], v)
+    assert Counter(tuple(r) for r in s.AggregateBy("k", 0, fold, comparer=lambda c: c % 2).ToArray()) == Counter(map(tuple, pairs.values()))
+    keyed = from_rows(spark, [{"k": x, "v": n} for n, x in enumerate([None, 1.5, float("nan"), None, float("nan")])])
+    assert sorted(r["value"] for r in keyed.AggregateBy("k", 0, q.py(lambda a, r: a + r["v"], "long")).ToArray()) == [1, 3, 6]
