@@ -15,3 +15,7 @@ class MoreThanOneElementError(InvalidOperationError):
 
 class ArgumentOutOfRangeError(ValueError):
     """An index or percentile lies outside its range."""
+
+
+class AbortedError(Exception):
+    """A signal was set while a terminal ran."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions.errors import ArgumentOutOfRangeError, EmptySequenceError, InvalidOperationError, MoreThanOneElementError
+from seqloom.functions.errors import AbortedError, ArgumentOutOfRangeError, EmptySequenceError, InvalidOperationError, MoreThanOneElementError
 from seqloom.functions.pagination import CursorPage, clamp_page_size, create_page_result, parse_cursor
 from seqloom.operators.base import Base
 from seqloom.plans.exprs import Py, arity
@@ -57,20 +59,48 @@ class Terminals(Base):
     def __iter__(self):
         return (_value(r) for r in self.ordered_df().toLocalIterator(prefetchPartitions=True))
 
-    def ForEach(self, action, concurrency: int = 1) -> None:
-        """In order on the driver, one row at a time; or with a concurrency in as many tasks at most on the executors."""
+    def ForEach(self, action, concurrency: int = 1, signal=None) -> None:
+        """action(item) or action(item, position), in order on the driver, one row at a time; or with a concurrency in
+        as many tasks at most on the executors. A signal is anything with is_set(); once it is set, AbortedError ends
+        the call."""
+        indexed = arity(action) > 1
         if concurrency > 1:
-
-            def act(rows):
-                for r in rows:
-                    action(_value(r))
-
-            self.df.coalesce(concurrency).foreachPartition(act)
+            self._for_each_in_tasks(action, indexed, concurrency, signal)
             return
-        indexed = arity(action) > 1
         for n, item in enumerate(self):
+            if signal is not None and signal.is_set():
+                raise AbortedError("the signal was set")
             action(item, n) if indexed else action(item)
 
+    def _for_each_in_tasks(self, action, indexed: bool, concurrency: int, signal) -> None:
+        s, names = self._ordinal() if indexed else self, self.columns
+        df = s._df.select(*s._visible(), *([ORD] if indexed else []))
+
+        def act(rows):
+            for r in rows:
+                item = r["value"] if names == ["value"] else Row(**{c: r[c] for c in names})
+                action(item, r[ORD]) if indexed else action(item)
+
+        tag, over, context = f"seqloom-{uuid.uuid4().hex}", threading.Event(), s.spark.sparkContext
+
+        def watch():
+            while not over.wait(0.2):
+                if signal.is_set():
+                    context.cancelJobsWithTag(tag)
+
+        context.addJobTag(tag)
+        if signal is not None:
+            threading.Thread(target=watch, daemon=True).start()
+        try:
+            df.coalesce(concurrency).foreachPartition(act)
+        except Exception as e:
+            if signal is not None and signal.is_set():
+                raise AbortedError("the signal was set") from e
+            raise
+        finally:
+            over.set()
+            context.removeJobTag(tag)
+
     def to_set_df(self) -> DataFrame:
         return self.df.distinct()
 

@@ -150,3 +150,20 @@ def test_folds_in_a_streaming_pass(spark):
     assert Counter(tuple(r) for r in s.AggregateBy("k", 0, fold, comparer=lambda c: c % 2).ToArray()) == Counter(map(tuple, pairs.values()))
     keyed = from_rows(spark, [{"k": x, "v": n} for n, x in enumerate([None, 1.5, float("nan"), None, float("nan")])])
     assert sorted(r["value"] for r in keyed.AggregateBy("k", 0, q.py(lambda a, r: a + r["v"], "long")).ToArray()) == [1, 3, 6]
+
+
+def test_for_each_stops_at_a_signal(spark, tmp_path):
+    import threading
+    import time
+
+    stop, seen = threading.Event(), []
+    with pytest.raises(q.AbortedError):
+        range_(spark, 0, 100).ForEach(lambda x: (seen.append(x), x == 6 and stop.set()), signal=stop)
+    assert seen == list(range(7))
+    path = str(tmp_path)
+    from_rows(spark, ["b", "a"]).Order().ForEach(lambda x, n: open(f"{path}/{n}{x}", "w").close(), concurrency=2)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0a", "1b"]
+    late = threading.Event()
+    threading.Timer(1.5, late.set).start()
+    with pytest.raises(q.AbortedError):
+        range_(spark, 0, 60).ForEach(lambda x: time.sleep(0.5), concurrency=2, signal=late)
